@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_fm, quality_rules, simhash_dedup, substring_dedup
+from . import bpe_codec, decontaminate, hmm_lm, license_scan, line_dedup, quality_fm, quality_rules, secret_scan, simhash_dedup, substring_dedup
 from .spark_util import table
 
 
@@ -15,6 +16,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -27,14 +36,34 @@ def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.copies(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op4_substring_dedup, op5_quality_rules, quality_rule_ablation, op10_simhash_dedup]
-    return {f.__name__: f for f in found}
+    found = [
+        op1_quality_classifier, op2_license_scan, op3_line_dedup, op4_substring_dedup, op5_quality_rules, quality_rule_ablation,
+        op6_hmm_lm, op7_secret_scan, op8_bpe_codec, op9_decontaminate, op10_simhash_dedup,
+    ]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
+    """The searches, scans and models have no SQL of practical cost; tests/llm holds them to brute force."""
     return {"op5_quality_rules": quality_rules.ledger_sql(), "quality_rule_ablation": quality_rules.ablation_sql()}
