@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder, for large results that several plans read.
+
+    Unlike a checkpoint it is read column by column. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    name = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and the named columns), whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -1,15 +1,560 @@
-"""All queries of the library over the test tables, with their SQL equivalents."""
+"""All queries of the library over the test tables, with their SQL equivalents where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import langid, rewrite, scores, text
+from ..functions.tokenizers import char_ids, from_char_ids
+from ..operators import evaluation, packing, store, structure, templates, transforms, vocab
+from ..operators.transforms import Choice, Chunked, Compose, DuplicatedLines, LangSet, LineByLine, MaxMin, Replace
+from ..sources import io
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of mostly letters in a known language, with their languages, score and rewritten text."""
+    chain = Compose([MaxMin("alpha-fraction", 0.5, None, "alpha"), LangSet(["en", "fr", "de", "es"], record_key="langs"), Replace("url:<url>|email:<email>")])
+    return chain.apply(docs(spark, sf_dir)).select("doc_id", "langs", "alpha", "text")
+
+
+# scores
+
+
+def _scores(name: str, spec: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return docs(spark, sf_dir).select("doc_id", scores.score(spec)(F.col("text")).alias("score"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, {sql} AS score FROM documents" if sql else None)(run)
+
+
+_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+_ENGLISH = "[" + ", ".join(f"'{w}'" for w in sorted(scores.ENGLISH)) + "]"
+_ratio = lambda a, b: f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0.0 END"
+_ALPHA = "len(regexp_extract_all(text, '[A-z]'))"
+_CHARS = "string_split(text, '')"
+_ENGLISH_N = f"len(list_filter({_WORDS}, lambda w: list_contains({_ENGLISH}, lower(w))))"
+for _name, _spec, _sql in (
+    ("score_text_length", "text-length", "CAST(length(text) AS BIGINT)"),
+    ("score_unique_chars", "text-length?unique=true", f"CAST(len(list_distinct({_CHARS})) AS BIGINT)"),
+    ("score_bytes", "byte", "CAST(strlen(text) AS BIGINT)"),
+    ("score_byte_fraction", "byte-fraction", _ratio("strlen(text)", "length(text)")),
+    ("score_alpha", "alpha", f"CAST({_ALPHA} AS BIGINT)"),
+    ("score_alpha_unique", "alpha?unique=true", "CAST(len(list_distinct(regexp_extract_all(text, '[A-z]'))) AS BIGINT)"),
+    ("score_alpha_fraction", "alpha-fraction", _ratio(_ALPHA, "length(text)")),
+    ("score_alpha_fraction_reverse", "alpha-fraction?reverse=true", _ratio("length(text)", _ALPHA)),
+    ("score_regex_count", "regex:[0-9]+(?:[.,][0-9]+)?", "CAST(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS BIGINT)"),
+    ("score_english", "english", f"CAST({_ENGLISH_N} AS BIGINT)"),
+    ("score_english_fraction", "english-fraction", _ratio(_ENGLISH_N, "length(text)")),
+    ("score_token", "tokenizer:word", f"CAST(len({_WORDS}) AS BIGINT)"),
+    ("score_token_fraction", "token-fraction?tokenizer=word", _ratio(f"len({_WORDS})", "length(text)")),
+    ("score_none", "none", "CAST(1 AS BIGINT)"),
+    ("score_zlib_fraction", "zlib-fraction", ""),
+):
+    _scores(_name, _spec, _sql)
+
+
+@query(
+    "WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY ALL), "
+    "t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c) "
+    "SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM t GROUP BY doc_id"
+)
+def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).where("text <> ''")
+    return d.select("doc_id", F.round(scores.entropy(char_ids(F.col("text"))), 6).alias("entropy"))
+
+
+@query(
+    r"SELECT doc_id, CASE WHEN length(text) <> 0 THEN CAST(length(text) - length(regexp_replace(text, '[\p{L}\p{N}]', '', 'g')) AS DOUBLE) / length(text) ELSE 0.0 END AS alnum, "
+    r"regexp_matches(text, '[ぁ-んァ-ヶ]') AS japanese FROM documents"
+)
+def alnum_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", scores.alnum_fractions(F.col("text"))[0].alias("alnum"), scores.contains_japanese(F.col("text")).alias("japanese"))
+
+
+_QUANTILES = ", ".join(f"quantile_cont(v, {p}) AS p{round(100 * p):02d}" for p in transforms.PERCENTILES)
+
+
+@query(f"SELECT count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, {_QUANTILES}, max(v) AS max FROM (SELECT CAST(length(text) AS DOUBLE) AS v FROM documents)")
+def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.describe(docs(spark, sf_dir), "text-length").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("SELECT CAST(floor(length(text) / 500.0) * 500 AS DOUBLE) AS bin, count(*) AS n FROM documents GROUP BY 1")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.histogram(docs(spark, sf_dir), "text-length", 500)
+
+
+# composition
+
+
+@query(f"SELECT doc_id, text, round({_ratio(_ALPHA, 'length(text)')}, 5) AS alpha FROM documents WHERE {_ratio(_ALPHA, 'length(text)')} BETWEEN 0.6 AND 0.8")
+def maxmin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MaxMin("alpha-fraction", 0.6, 0.8, "alpha").apply(docs(spark, sf_dir)).select("doc_id", "text", "alpha")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (length(text) >= 500 AND length(text) <= 3000) AS remaining FROM documents")
+def filter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MaxMin("text-length", 500, 3000).counters(docs(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[0-9]{5,}', '<number>', 'g') AS text FROM documents WHERE length(text) BETWEEN 100 AND 5000 AND length(text) > 0 AND strlen(text) >= length(text) + 1")
+def compose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = Compose([MaxMin("text-length", 100, 5000), MaxMin("byte-fraction", 1 + 1e-12), Replace("number:<number>")])
+    return chain.apply(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, text FROM documents WHERE length(text) < 500 OR {_ENGLISH_N} >= 50")
+def choice_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Choice([MaxMin("text-length", None, 499), MaxMin("english", 50)]).apply(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query("SELECT * FROM (SELECT doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) >= 60 THEN x ELSE '' END), 'string_agg', chr(10)) AS text FROM documents) WHERE text <> ''")
+def line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LineByLine([MaxMin("text-length", 60)]).apply(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+_STATE = "{'done': CAST([] AS VARCHAR[]), 'run': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'line': ''}"
+_CHUNKS = f"""list_reduce(
+    list_transform(string_split(text, chr(10)), lambda x: {{'done': CAST([] AS VARCHAR[]), 'run': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'line': x}}),
+    lambda a, b: CASE
+        WHEN trim(b.line, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN CASE WHEN len(a.run) > 0
+            THEN {{'done': list_append(a.done, array_to_string(a.run, chr(10))), 'run': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'line': ''}} ELSE a END
+        WHEN a.n + length(b.line) + 1 > 200
+            THEN {{'done': list_append(a.done, array_to_string(a.run, chr(10))), 'run': [b.line], 'n': CAST(length(b.line) AS BIGINT), 'line': ''}}
+        ELSE {{'done': a.done, 'run': list_append(a.run, b.line), 'n': CAST(a.n + length(b.line) + 1 AS BIGINT), 'line': ''}} END,
+    {_STATE})"""
+_CHUNKED = f"SELECT doc_id, CASE WHEN len(s.run) > 0 THEN list_append(s.done, array_to_string(s.run, chr(10))) ELSE s.done END AS chunks FROM (SELECT doc_id, {_CHUNKS} AS s FROM documents)"
+
+
+@query(f"SELECT doc_id, CAST(k - 1 AS BIGINT) AS chunk_no, chunks[k] AS chunk FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS k FROM ({_CHUNKED}))")
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    return d.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+
+
+@query(f"SELECT * FROM (SELECT doc_id, array_to_string(list_transform(chunks, lambda c: CASE WHEN length(c) >= 100 THEN c ELSE '' END), chr(10)) AS text FROM ({_CHUNKED}) WHERE len(chunks) > 0) WHERE text <> ''")
+def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Chunked([MaxMin("text-length", 100)]).apply(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+_LAST = "a.kept[len(a.kept)]"
+_DUPLICATE = f"""list_reduce(
+    list_transform(string_split(text, chr(10)), lambda x: {{'kept': [''], 'line': x}}),
+    lambda a, b: CASE
+        WHEN length(b.line) > 8 AND length(b.line) < 80 AND starts_with({_LAST}, substr(b.line, 1, 8))
+            THEN CASE WHEN length(b.line) > length({_LAST}) THEN {{'kept': list_append(a.kept[1:len(a.kept) - 1], b.line), 'line': ''}} ELSE a END
+        WHEN trim(b.line) = '' AND {_LAST} = '' THEN a
+        ELSE {{'kept': list_append(a.kept, b.line), 'line': ''}} END,
+    {{'kept': [''], 'line': ''}})"""
+
+
+@query(f"SELECT * FROM (SELECT doc_id, array_to_string(s.kept[2:], chr(10)) AS text FROM (SELECT doc_id, {_DUPLICATE} AS s FROM documents)) WHERE text <> ''")
+def duplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DuplicatedLines().apply(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query("SELECT doc_id, text, 'doc-' || doc_id || '/' || lang AS id, lang AS language FROM documents")
+def transform_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.transform_keys(docs(spark, sf_dir), "id=doc-{doc_id}/{lang}|language=lang|lang")
+
+
+@query(
+    "WITH s AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations), "
+    "d AS (SELECT doc_id, text AS output, row_number() OVER (ORDER BY doc_id) AS n FROM documents) SELECT conv_id, turn, doc_id, output FROM s JOIN d USING (n)"
+)
+def import_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    right = docs(spark, sf_dir).select("doc_id", F.col("text").alias("output"))
+    return transforms.zip_by_position(left, right, ["conv_id", "turn"], ["doc_id"])
+
+
+# rewriting
+
+
+def _rewrites(name: str, rewriter: str, placeholder: str, source: str, key: str, column: str, sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(key, rewrite.rewriter(rewriter)[0](F.col(column), placeholder).alias("text"))
+
+    run.__name__ = name
+    query(f"SELECT {key}, {sql} AS text FROM {source}" if sql else None)(run)
+
+
+_sub = lambda c, p, new, flags="g": f"regexp_replace({c}, '{p}', '{new}', '{flags}')"
+_URL = r"https?://[\p{L}\p{N}_/:%#$&?~.,=+\-\\]+"
+_HASH = "|".join(rf"\b{a}+{b}+{a}+{b}+[{x}0-9]{{3,}}\b" for x in ("a-f", "A-F") for a, b in ((f"[{x}]", "[0-9]"), ("[0-9]", f"[{x}]")))
+_ENCLOSE = [p.replace("'", "''") for p in rewrite._ENCLOSED]
+for _args in (
+    ("replace_url", "url", "<url>", "pages", "page_id", "html", _sub("html", _URL, "<url>")),
+    ("replace_email", "email", "<email>", "documents", "doc_id", "text", _sub("text", r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z|]{2,7}|<EMAIL>", "<email>", "gi")),
+    ("replace_number", "number", "<number>", "documents", "doc_id", "text", _sub("text", r"\p{Nd}{5,}|\p{Nd}*\.\p{Nd}{4,}\(num\)", "<number>")),
+    ("replace_phone", "phone", "<phone>", "documents", "doc_id", "text", _sub("text", rewrite.STRICT["phone"], "<phone>")),
+    ("replace_uuid", "uuid", "<uuid>", "documents", "doc_id", "text", _sub("text", r"\b[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\b", "<uuid>")),
+    ("replace_float", "float", "", "documents", "doc_id", "text", _sub("text", r"(\p{Nd}*\.\p{Nd}{3})\p{Nd}{2,}", r"\1")),
+    ("replace_address", "address", "<address>", "documents", "doc_id", "text", _sub("text", rewrite.STRICT["address"], "<address>")),
+    ("replace_article", "article", "<article>", "documents", "doc_id", "text", _sub("text", r"(\n#?|>\s*)\p{Nd}{2,}[:.]?\b", r"\1<article>")),
+    ("replace_menu", "menu", "<menu>", "documents", "doc_id", "text", _sub("text", rewrite.STRICT["menu"], "<menu>\n")),
+    ("replace_enclose", "enclose", "", "pages", "page_id", "html", _sub(_sub(_sub("html", _ENCLOSE[0], ""), _ENCLOSE[1], ""), _ENCLOSE[2], "")),
+    ("replace_date", "date", "<date>", "documents", "doc_id", "text", None),
+    ("replace_time", "time", "<time>", "documents", "doc_id", "text", None),
+    ("replace_datetime", "datetime", "<date>", "documents", "doc_id", "text", None),
+    ("replace_hash", "hash", "<hash>", "documents", "doc_id", "text", None),
+    ("replace_base64", "base64", "<base64>", "documents", "doc_id", "text", None),
+    ("replace_product_id", "product_id", "<id>", "documents", "doc_id", "text", None),
+    ("replace_id", "id", "", "documents", "doc_id", "text", None),
+    ("replace_bar", "bar", "", "documents", "doc_id", "text", None),
+    ("replace_longstring", "longstring", "", "documents", "doc_id", "text", None),
+    ("replace_repeated", "repeated", "", "documents", "doc_id", "text", None),
+    ("cleanup_lines", "cleanup", "", "documents", "doc_id", "text", None),
+):
+    _rewrites(*_args)
+
+
+@query()
+def unicode_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", rewrite.normalize(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_extract(text, '(?s)^(.*?)(?:" + "|".join(sorted(text._FOOTNOTES, key=lambda w: (-len(w), w))) + r"|\z)', 1) AS text FROM documents")
+def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", text.without_footnotes(F.col("text")).alias("text"))
+
+
+def _sections(kind: str, sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = docs(spark, sf_dir).select("doc_id", F.posexplode(text.sections(F.col("text"), kind)).alias("section_no", "section"))
+        return d.withColumn("section_no", F.col("section_no").cast("bigint"))
+
+    run.__name__ = f"sections_{kind}"
+    query(sql)(run)
+
+
+def _marked(pattern: str, back: str) -> str:
+    cut = f"string_split(regexp_replace(text, '{pattern}', '{back}', 'g'), chr(1))"
+    return f"SELECT doc_id, CAST(k - 1 AS BIGINT) AS section_no, parts[k] AS section FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, {cut} AS parts FROM documents))"
+
+
+_sections("line", _marked(r"\n([^\n])", "\n\x01" + r"\1"))
+_sections("doc", _marked(r"\n\n([^\n])", "\n\n\x01" + r"\1"))
+_sections("markdown", _marked(r"\n#", "\n\x01#"))
+_sections("python", None)
+
+
+# language
+
+
+def _languages(d: DataFrame) -> DataFrame:
+    return d.withColumn("chunk_langs", langid.chunk_languages(F.col("text")))
+
+
+def _count_sql(lang: str) -> str:
+    if lang in ("zh", *langid._BLOCKS, "ja", "ko", "th"):
+        pattern = langid._CJK if lang == "zh" else langid._BLOCKS.get(lang) or "|".join(langid.vocabulary(lang))
+        n = f"len(list_distinct(regexp_extract_all(chunk, '{pattern}')))"
+        return f"least({n}, 1)" if lang == "zh" else n
+    listed = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in langid.vocabulary(lang)) + "]"
+    return f"len(list_distinct(list_filter(ws, lambda w: list_contains({listed}, lower(w)))))"
+
+
+def _winner_sql(langs: list[str]) -> str:
+    """Chunks with their winners: the ordered fold as a chain of columns."""
+    counted = ", ".join(f"{_count_sql(g)} AS n_{g}" for g in langs)
+    sql = f"SELECT doc_id, chunk, 'unknown' AS win, 3 AS bar, {', '.join('n_' + g for g in langs)} FROM (SELECT *, {counted} FROM (SELECT *, regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}_]+') AS ws FROM (SELECT doc_id, unnest(chunks) AS chunk FROM ({_CHUNKED}))))"
+    for g in langs:
+        sql = f"SELECT * REPLACE (CASE WHEN n_{g} >= bar THEN '{g}' ELSE win END AS win, CASE WHEN n_{g} >= bar THEN bar + 1 ELSE bar END AS bar) FROM ({sql})"
+    return f"SELECT doc_id, chunk, win FROM ({sql})"
+
+
+_WINNERS = _winner_sql(langid.ORDER)
+
+
+@query(f"SELECT win AS lang, CAST(sum(length(chunk)) AS BIGINT) AS volume, round(sum(length(chunk)) * 100.0 / sum(sum(length(chunk))) OVER (), 6) AS percent FROM ({_WINNERS}) GROUP BY win")
+def lang_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.volumes(_languages(docs(spark, sf_dir))).withColumn("percent", F.round("percent", 6))
+
+
+_DOC_LANGS = f"SELECT d.doc_id, d.text, coalesce(w.langs, 'unknown') AS langs FROM documents d LEFT JOIN (SELECT doc_id, string_agg(win, ',' ORDER BY win) AS langs FROM (SELECT DISTINCT doc_id, win FROM ({_WINNERS}) WHERE win <> 'unknown') GROUP BY doc_id) w USING (doc_id)"
+
+
+@query(f"SELECT langs, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM ({_DOC_LANGS}) WHERE length(text) >= 40 GROUP BY langs")
+def lang_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = LangSet(record_key="langs").apply(docs(spark, sf_dir)).groupBy("langs").agg(F.count("*").alias("n"))
+    total = kept.agg(F.sum("n").alias("total"))
+    return kept.crossJoin(F.broadcast(total)).select("langs", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("percent"))
+
+
+@query(f"SELECT doc_id, langs AS langs FROM ({_DOC_LANGS}) WHERE length(text) >= 40 AND list_has_any(string_split(langs, ','), ['fr', 'de'])")
+def langset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LangSet(["fr", "de"], record_key="langs").apply(docs(spark, sf_dir)).select("doc_id", "langs")
+
+
+@query("SELECT doc_id, lang, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS lang, len(list_filter({_WORDS}, lambda w: list_contains([{', '.join(repr(w) for w in langid.vocabulary(g))}], lower(w)))) AS n FROM documents" for g in ("en", "fr", "es", "de")) + ") WHERE n >= 5")
+def lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.count_lang(F.col("text"), ["en", "fr", "es", "de"])
+    return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.lang", "c.n")
+
+
+# packing, stores, recipes
+
+BLOCK = 2048
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.encode(docs(spark, sf_dir).select("doc_id", "text")), BLOCK)
+
+
+_STREAM = "SELECT string_agg(text || chr(1), '' ORDER BY doc_id) AS s FROM documents"
+_BLOCKS_SQL = f"SELECT CAST(b AS BIGINT) AS block_id, substr(s, CAST(b * {BLOCK} + 1 AS BIGINT), {BLOCK}) AS block FROM (SELECT s, unnest(range(0, length(s) // {BLOCK})) AS b FROM ({_STREAM}))"
+_N_BLOCKS = f"(SELECT length(s) // {BLOCK} FROM ({_STREAM}))"
+
+
+def _as_text(ids: str = "input_ids") -> Column:
+    return from_char_ids(F.transform(ids, lambda i: F.when(i == 0, 1).otherwise(i)))
+
+
+@query(_BLOCKS_SQL)
+def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir).select("block_id", _as_text().alias("block"))
+
+
+@query(
+    f"SELECT texts, chars, chars AS tokens, 1.0::DOUBLE AS tokens_per_char, (chars + texts) // {BLOCK} AS blocks, (chars + texts) % {BLOCK} AS left_over_tokens, "
+    f"round(CAST((chars + texts) // {BLOCK} * {BLOCK} AS DOUBLE) / (chars + texts), 6) AS effective FROM (SELECT count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents)"
+)
+def pack_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(packing.encode(docs(spark, sf_dir)), BLOCK).withColumn("effective", F.round("effective", 6))
+
+
+@query()
+def pack_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = packing.Options(512, truncate_size=64, padding_size=128, overlap_size=32)
+    shard = F.pmod(F.floor(F.col("doc_id") / 1000), F.lit(1 << 20))
+    return packing.pack_stateful(packing.encode(docs(spark, sf_dir).select("doc_id", "text")), options, shard=shard)
+
+
+@query()
+def pack_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.noise(packing.encode(docs(spark, sf_dir).select("doc_id", "text")), 0.05, mask=1, special={0: 0.0}).select("doc_id", "ids")
+
+
+@query(f"SELECT b // 64 AS chunk_id, count(*) AS n_items, count(*) * {BLOCK} AS n_tokens, CAST({BLOCK} AS BIGINT) AS min_length, CAST({BLOCK} AS BIGINT) AS max_length, min(b) AS first_block, max(b) AS last_block FROM (SELECT unnest(range(0, {_N_BLOCKS})) AS b) GROUP BY 1")
+def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.manifest(_blocks(spark, sf_dir), 64)
+
+
+@query(f"SELECT block_id, CAST(k AS BIGINT) AS sub_no, substr(block, CAST(k * 600 + 1 AS BIGINT), 600) AS block FROM (SELECT *, unnest(range(0, {BLOCK} // 600)) AS k FROM ({_BLOCKS_SQL}))")
+def subblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.subblocks(_blocks(spark, sf_dir), 600).select("block_id", "sub_no", _as_text().alias("block"))
+
+
+@query("SELECT doc_id, (doc_id // 16 - 3 % 40 + 40) % 40 AS chunk_pos FROM documents WHERE doc_id < 640 AND (doc_id // 16 - 3 % 40 + 40) % 40 % 4 = 1")
+def rank_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = docs(spark, sf_dir).where("doc_id < 640").select("doc_id", F.floor(F.col("doc_id") / 16).alias("chunk_id"))
+    return store.rank_shard(store.rotated(chunks, 3, 40), 1, 4).select("doc_id", "chunk_pos")
+
+
+@query("WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS total FROM benchmark) SELECT item_id, c AS copy FROM (SELECT *, unnest(range(0, CAST(ceil(total * 2.5) AS BIGINT) // total + CASE WHEN n < CAST(ceil(total * 2.5) AS BIGINT) % total THEN 1 ELSE 0 END)) AS c FROM r)")
+def resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    return store.resize(items, items.count(), ratio=2.5, order="item_id")
+
+
+@query(
+    "WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS size, count(*) OVER () AS total FROM documents), "
+    "q AS (SELECT *, CAST(round_even(64.0 * size / total, 0) AS BIGINT) AS k FROM n) SELECT lang AS source, r // k AS batch_no, doc_id FROM q WHERE k > 0 AND r // k < 8"
+)
+def mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", "lang")
+    sizes = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy("lang").collect()}  # a row per source
+    mixed = store.mix({k: d.where(F.col("lang") == k).select("doc_id") for k in sizes}, sizes, 64, order="doc_id", batches=8)
+    return mixed.where("epoch = 0").select("source", "batch_no", "doc_id") if "epoch" in mixed.columns else mixed.select("source", "batch_no", "doc_id")
+
+
+@query("SELECT ascii(ch) AS token_id, count(*) AS count FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') WHERE ascii(ch) BETWEEN 32 AND 126 GROUP BY 1 UNION ALL SELECT x, 0 FROM (SELECT unnest(range(32, 127)) AS x) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, chr(CAST(x AS INTEGER))))")
+def token_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = docs(spark, sf_dir).select(char_ids(F.col("text")).alias("input_ids"))
+    printable = spark.range(32, 127).select(F.col("id").cast("int").alias("token_id"))
+    return store.token_stat(ids, printable).withColumn("token_id", F.col("token_id").cast("bigint"))
+
+
+@query(f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS tokens, CAST(length(text) AS BIGINT) AS chars, CAST(len({_WORDS}) AS DOUBLE) / length(text) AS fraction FROM documents WHERE length(text) > 40")
+def token_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, d = F.col("text"), docs(spark, sf_dir).where(F.length("text") > 40)
+    n = F.size(text.words(t)).cast("bigint")
+    return d.select("doc_id", n.alias("tokens"), F.length(t).cast("bigint").alias("chars"), scores.ratio(n, F.length(t)).alias("fraction"))
+
+
+# vocabulary
+
+
+def _vocabulary(d: DataFrame) -> DataFrame:
+    return vocab.word_counts(d).select(F.col("word").alias("piece"), (-F.log2(F.lit(1.0) + F.col("n"))).alias("score"))
+
+
+_COUNTS = r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM {0}) WHERE word <> '' GROUP BY 1 HAVING count(*) >= {1}"
+_VOCAB = f"SELECT word AS piece, -log2(1.0 + n) AS score FROM ({_COUNTS.format('documents', 2)})"
+
+
+@query(f"WITH v AS ({_VOCAB}), m AS (SELECT length(piece) AS n, avg(score) AS mean FROM v GROUP BY 1), w AS (SELECT DISTINCT word AS piece FROM ({_COUNTS.format('benchmark', 1)})) SELECT piece, round(score, 6) AS score FROM v UNION ALL SELECT w.piece, round(coalesce(m.mean, -20.0), 6) FROM w ANTI JOIN v USING (piece) LEFT JOIN m ON m.n = length(w.piece)")
+def vocab_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = vocab.word_counts(table(spark, sf_dir, "benchmark"), min_frequency=1).select(F.col("word").alias("piece"))
+    return vocab.add(_vocabulary(docs(spark, sf_dir)), new).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT piece, round(score, 6) AS score FROM ({_VOCAB}) ANTI JOIN (SELECT word AS piece FROM ({_COUNTS.format('benchmark', 1)})) USING (piece)")
+def vocab_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = vocab.word_counts(table(spark, sf_dir, "benchmark"), min_frequency=1).select(F.col("word").alias("piece"))
+    return vocab.remove(_vocabulary(docs(spark, sf_dir)), gone).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT c[k] AS left, c[k + 1] AS right, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, c, unnest(range(1, len(c))) AS k FROM (SELECT n, string_split(word, '') AS c FROM ({_COUNTS.format('documents', 2)}))) GROUP BY ALL")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.pair_counts(vocab.word_counts(docs(spark, sf_dir)))
+
+
+# evaluation
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "benchmark")
+    return a.alias("a").join(a.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+
+
+_PAIRS = "SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id"
+_XW, _YW = (rf"regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+')" for c in "xy")
+
+
+@query(f"SELECT item_id, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y)) END AS score FROM ({_PAIRS}) WHERE strlen(x) = length(x) AND strlen(y) = length(y)")
+def editsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ascii_only = _pairs(spark, sf_dir).where((F.octet_length("x") == F.length("x")) & (F.octet_length("y") == F.length("y")))
+    return ascii_only.select("item_id", evaluation.edit_similarity(F.col("x"), F.col("y")).alias("score"))
+
+
+@query(f"SELECT item_id, CASE WHEN len(list_distinct(list_concat({_XW}, {_YW}))) = 0 THEN 1.0 ELSE CAST(len(list_intersect({_XW}, {_YW})) AS DOUBLE) / len(list_distinct(list_concat({_XW}, {_YW}))) END AS score FROM ({_PAIRS})")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item_id", evaluation.jaccard(text.words(F.col("x")), text.words(F.col("y"))).alias("score"))
+
+
+@query(
+    f"WITH p AS ({_PAIRS}), a AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({_XW}) AS w FROM p) GROUP BY ALL), b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({_YW}) AS w FROM p) GROUP BY ALL) "
+    "SELECT p.item_id, round(coalesce((SELECT sum(a.n * b.n) FROM a JOIN b ON a.item_id = b.item_id AND a.w = b.w WHERE a.item_id = p.item_id) / ((SELECT sqrt(sum(n * n)) FROM a WHERE a.item_id = p.item_id) * (SELECT sqrt(sum(n * n)) FROM b WHERE b.item_id = p.item_id)), 0.0), 6) AS cosine FROM p"
+)
+def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select("item_id", text.words(F.col("x")).alias("x"), text.words(F.col("y")).alias("y"))
+    return evaluation.cosine(pairs, "item_id", "x", "y").withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def bleu_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    return _pairs(spark, sf_dir).select("item_id", evaluation.bleu(x, y).alias("bleu"), evaluation.rouge_l(x, y).alias("rouge_l"))
+
+
+_SAMPLES = "SELECT doc_id, 'm' || (doc_id % 3) AS model, 't' || (doc_id % 2) AS test, CAST(quality AS VARCHAR) AS reference, ['answer: 0' || toxic, CAST(quality AS VARCHAR)] AS output FROM labels"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("m"), F.col("doc_id") % 3).alias("model"), F.concat(F.lit("t"), F.col("doc_id") % 2).alias("test"), F.col("quality").cast("string").alias("reference"),
+        F.array(F.concat(F.lit("answer: 0"), F.col("toxic")), F.col("quality").cast("string")).alias("output"),
+    )
+
+
+_EXACT = f"SELECT doc_id, model, test, (CASE WHEN CAST(CAST(regexp_extract(output[1], '([0-9]+)', 1) AS BIGINT) AS VARCHAR) = reference THEN 0.5 ELSE 0.0 END + 0.5) AS score FROM ({_SAMPLES})"
+
+
+@query(_EXACT)
+def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.evaluate(_samples(spark, sf_dir), "exact_match").select("doc_id", "model", "test", "score")
+
+
+@query(f"SELECT model, test, count(*) AS n, round(avg(score) * 100, 2) AS mean, round(stddev_samp(score) / sqrt(count(*)) * 100, 2) AS stderr FROM ({_EXACT}) GROUP BY ALL")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluation.evaluate(_samples(spark, sf_dir), "exact_match")
+    return evaluation.metric_summary(scored, "score", ["model", "test"]).select("model", "test", "n", "mean", "stderr")
+
+
+@query(f"WITH s AS (SELECT model, test, round(avg(score) * 100, 2) AS mean FROM ({_EXACT}) GROUP BY ALL) SELECT model, round(avg(mean), 6) AS score, max(mean) FILTER (test = 't0') AS t0, max(mean) FILTER (test = 't1') AS t1 FROM s GROUP BY model")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluation.metric_summary(evaluation.evaluate(_samples(spark, sf_dir), "exact_match"), "score", ["model", "test"])
+    return evaluation.leaderboard(s.select("model", "test", "mean"), ["t0", "t1"]).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, round(-list_avg(list_sort(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))[1:12]), 6) AS score FROM embeddings")
+def mink_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(evaluation.min_k(F.col("embedding").cast("array<double>"), 20), 6).alias("score"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_min(embedding)) - 1 AS BIGINT) AS choice FROM embeddings")
+def best_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", evaluation.best_choice(F.col("embedding")).alias("choice"))
+
+
+_TURNS = "SELECT conv_id, turn, role AS instruction, text AS input, CAST(turn AS VARCHAR) AS output FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, '### instruction' || chr(10) || instruction || chr(10) || input || chr(10) || '### output' || chr(10) || output AS text FROM ({_TURNS})")
+def template_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("instruction"), F.col("text").alias("input"), F.col("turn").cast("string").alias("output"))
+    return templates.instruction(c).select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, turn, k AS choice, text || chr(10) || CASE k WHEN 'A' THEN role WHEN 'B' THEN 'user' WHEN 'C' THEN 'assistant' ELSE CAST(turn AS VARCHAR) END AS input FROM (SELECT *, unnest(['A', 'B', 'C', 'D']) AS k FROM conversations)")
+def template_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.col("role").alias("A"), F.lit("user").alias("B"), F.lit("assistant").alias("C"), F.col("turn").cast("string").alias("D"), F.lit("A").alias("answer"))
+    made = templates.choice_inputs(c).select("conv_id", "turn", F.arrays_zip("choice", "input").alias("z"))
+    return made.select("conv_id", "turn", F.inline("z"))
+
+
+@query()
+def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", structure.filter_markdown(F.col("html")).alias("text"))
+
+
+@query()
+def python_doc_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", structure.doc_fraction(F.col("text")).alias("fraction"))
+
+
+@query()
+def augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.concat(F.lit("[a|b] [@1|2] [x/y/z] "), F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", structure.augment(marked, F.col("item_id")).alias("text"))
+
+
+@query("SELECT 'dummy/' || x AS task_id, 'f' || x AS entry_point FROM (SELECT unnest(range(0, 10)) AS x)")
+def dummy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.dummy(spark).select("task_id", "entry_point")
