@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Rewriter = Callable[[Column, str], Column]
 
@@ -158,7 +159,7 @@ def normalize(t: Column, form: str = "NFKC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normalisation form {form!r}")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(t: pd.Series) -> pd.Series:
         return t.map(lambda s: unicodedata.normalize(form, s), na_action="ignore")
 

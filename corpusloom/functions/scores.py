@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .text import big, distinct_chars, words
 from .tokenizers import tokenizer
@@ -63,7 +64,7 @@ def _english(words_: str | None = None, unique: object = False) -> Score:
     return score
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _zlib_size(t: pd.Series) -> pd.Series:
     return t.map(lambda s: len(zlib.compress(s.encode(), 9)) if s is not None else None).astype("Int64")
 

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .text import words
 
@@ -37,7 +38,7 @@ def _load(path: str):  # noqa: ANN202
 
 
 def _from_file(path: str) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(ArrayType(IntegerType()))
     def encode(t: pd.Series) -> pd.Series:
         known = t.fillna("").tolist()
         ids = [e.ids for e in _load(path).encode_batch(known, add_special_tokens=True)]
@@ -55,7 +56,7 @@ def decode_with(name: str) -> Callable[[Column], Column]:
     if name == "char":
         return from_char_ids
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decode(ids: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else _load(name).decode(list(map(int, x))) for x in ids])
 

@@ -12,6 +12,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 from ..functions.scores import ratio
 
@@ -42,7 +43,7 @@ def character_runs(s: str) -> list[str]:
     return [t for t in ("".join(g) for _, g in groupby(s, _class)) if t != " "]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _runs_udf(t: pd.Series) -> pd.Series:
     return t.map(character_runs, na_action="ignore")
 
@@ -100,7 +101,7 @@ def rouge_l_score(candidate: list[str], reference: list[str]) -> float:
 
 
 def _pairwise(score: Callable[[list[str], list[str]], float]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(character_runs(x), character_runs(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -119,7 +120,7 @@ def exact_match(output: Column, reference: Column, strict: bool = True) -> Colum
     return ratio(F.aggregate(output, F.lit(0), lambda acc, o: acc + hit(o).cast("int")), F.size(output))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _zlib_len(t: pd.Series) -> pd.Series:
     return t.map(lambda s: len(zlib.compress(s.encode("utf-8"))), na_action="ignore").astype("Int64")
 
@@ -189,7 +190,7 @@ def metric_summary(df: DataFrame, score: str, by: list[str], scale: float = 100.
     """
     s = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), (F.avg(score) * scale).alias("mean"), (F.stddev_samp(score) / F.sqrt(F.count("*")) * scale).alias("stderr"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def t_of(n: pd.Series) -> pd.Series:
         table = {k: t_quantile(0.5 + level / 2, int(k) - 1) if k > 1 else None for k in n.unique()}
         return n.map(table).astype("float64")

@@ -15,6 +15,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import rewrite
 from ..functions.scores import ratio
@@ -77,7 +78,7 @@ def split_python(source: str) -> tuple[str, str]:
     return "\n".join(docs), re.sub("\0(\\d+)\0", lambda m: held[int(m[1])], "\n".join(kept))
 
 
-@F.pandas_udf("doc string, code string")
+@F.pandas_udf(StructType().add("doc", StringType()).add("code", StringType()))
 def python_parts(t: pd.Series) -> pd.DataFrame:
     """struct(doc, code) of Python sources; nulls for null."""
     return pd.DataFrame([(None, None) if s is None else split_python(s) for s in t], columns=["doc", "code"])
@@ -152,7 +153,7 @@ def strip_emphasis(t: Column) -> Column:
 def filter_markdown(t: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """Markdown-free text of the sections (cut at line breaks before #) that ``keep`` accepts; code fences stay, cleaned."""
 
-    @F.pandas_udf("text string, held array<string>")
+    @F.pandas_udf(StructType().add("text", StringType()).add("held", ArrayType(StringType())))
     def aside(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
@@ -165,7 +166,7 @@ def filter_markdown(t: Column, keep: Callable[[Column], Column] | None = None) -
             rows.append((None, None) if x is None else (_INLINE.sub(hide, _FENCES.sub(hide, x)), held))
         return pd.DataFrame(rows, columns=["text", "held"])
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def back(s: pd.Series, held: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else re.sub("\ue000(\\d+)\ue001", lambda m, h=h: h[int(m[1])], x) for x, h in zip(s, held, strict=True)])
 
@@ -228,7 +229,7 @@ def augment_text(s: str, seed: int = 0, choose: bool = True) -> str:
 def augment(t: Column, key: Column, seed: int = 42, choose: bool = True) -> Column:
     """augment_text with a seed hashed from the row's key, so that a rerun chooses alike."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else augment_text(x, int(n), choose) for x, n in zip(s, k, strict=True)])
 
@@ -256,6 +257,6 @@ def cut_at_stops(code: str, stops: tuple[str, ...] = ("\nclass ", "\ndef ", "\n#
     return code[: min((i for i in map(code.find, stops) if i >= 0), default=len(code))]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_code(t: pd.Series) -> pd.Series:
     return t.map(first_code, na_action="ignore")

@@ -380,10 +380,15 @@ def subblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.subblocks(_blocks(spark, sf_dir), 600).select("block_id", "sub_no", _as_text().alias("block"))
 
 
-@query("SELECT doc_id, (doc_id // 16 - 3 % 40 + 40) % 40 AS chunk_pos FROM documents WHERE doc_id < 640 AND (doc_id // 16 - 3 % 40 + 40) % 40 % 4 = 1")
+@query(
+    "WITH c AS (SELECT doc_id, doc_id // 16 AS chunk_id FROM documents), n AS (SELECT max(chunk_id) + 1 AS n FROM c) "
+    "SELECT doc_id, (chunk_id - 3 % n + n) % n AS chunk_pos FROM c, n WHERE (chunk_id - 3 % n + n) % n % 4 = 1"
+)
 def rank_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = docs(spark, sf_dir).where("doc_id < 640").select("doc_id", F.floor(F.col("doc_id") / 16).alias("chunk_id"))
-    return store.rank_shard(store.rotated(chunks, 3, 40), 1, 4).select("doc_id", "chunk_pos")
+    """The chunks of rank 1 of 4 after a rotation by 3."""
+    chunks = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("chunk_id"))
+    n = (chunks.agg(F.max("chunk_id")).first()[0] or 0) + 1
+    return store.rank_shard(store.rotated(chunks, 3, n), 1, 4).select("doc_id", "chunk_pos")
 
 
 @query("WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS total FROM benchmark) SELECT item_id, c AS copy FROM (SELECT *, unnest(range(0, CAST(ceil(total * 2.5) AS BIGINT) // total + CASE WHEN n < CAST(ceil(total * 2.5) AS BIGINT) % total THEN 1 ELSE 0 END)) AS c FROM r)")
@@ -394,13 +399,14 @@ def resize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS size, count(*) OVER () AS total FROM documents), "
-    "q AS (SELECT *, CAST(round_even(64.0 * size / total, 0) AS BIGINT) AS k FROM n) SELECT lang AS source, r // k AS batch_no, doc_id FROM q WHERE k > 0 AND r // k < 8"
+    "q AS (SELECT *, CAST(round_even(64.0 * size / total, 0) AS BIGINT) AS k FROM n), l AS (SELECT max(CAST(ceil(CAST(size AS DOUBLE) / k) AS BIGINT)) AS last FROM q WHERE k > 0) "
+    "SELECT source, at // k AS batch_no, doc_id FROM (SELECT lang AS source, k, last, doc_id, r + size * unnest(range(0, CAST(ceil(CAST(last * k AS DOUBLE) / size) AS BIGINT))) AS at FROM q, l WHERE k > 0) WHERE at // k < last"
 )
 def mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "lang")
     sizes = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy("lang").collect()}  # a row per source
-    mixed = store.mix({k: d.where(F.col("lang") == k).select("doc_id") for k in sizes}, sizes, 64, order="doc_id", batches=8)
-    return mixed.where("epoch = 0").select("source", "batch_no", "doc_id") if "epoch" in mixed.columns else mixed.select("source", "batch_no", "doc_id")
+    mixed = store.mix({k: d.where(F.col("lang") == k).select("doc_id") for k in sizes}, sizes, 64, order="doc_id")
+    return mixed.select("source", "batch_no", "doc_id")
 
 
 @query("SELECT ascii(ch) AS token_id, count(*) AS count FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') WHERE ascii(ch) BETWEEN 32 AND 126 GROUP BY 1 UNION ALL SELECT x, 0 FROM (SELECT unnest(range(32, 127)) AS x) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, chr(CAST(x AS INTEGER))))")
