@@ -75,14 +75,21 @@ def _tokens(tokenizer_: str = "char", unique: object = False) -> Score:
 
 
 def entropy(ids: Column) -> Column:
-    """Shannon entropy in bits of an array's values; 0 for an empty array. One pass over the sorted array."""
-    n = F.size(ids).cast("double")
-    sorted_ids = F.array_sort(ids)
-    # lengths of runs of equal values, by the places where the next value differs
-    ends = F.filter(F.transform(sorted_ids, lambda x, i: F.when((i == F.size(ids) - 1) | (F.get(sorted_ids, i + 1) != x), i + 1)), lambda x: x.isNotNull())
-    sizes = F.transform(ends, lambda e, i: (e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))).cast("double"))
-    bits = F.aggregate(sizes, F.lit(0.0), lambda acc, c: acc - c / n * F.log2(c / n))
-    return F.when(F.size(ids) == 0, F.lit(0.0)).otherwise(bits)
+    """Shannon entropy in bits of an array's values; 0 for an empty array. One pass over the sorted array.
+
+    With runs of c equal values among n it is log2(n) - sum(c * log2(c)) / n.
+    """
+    weigh = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+
+    def add(acc: Column, x: Column) -> Column:
+        same = F.equal_null(acc["last"], x)
+        run = F.when(same, acc["run"] + 1.0).otherwise(1.0)
+        done = acc["done"] + F.when(same, 0.0).otherwise(weigh(acc["run"]))
+        return F.struct(x.alias("last"), run.alias("run"), done.alias("done"), (acc["n"] + 1.0).alias("n"))
+
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("done"), F.lit(0.0).alias("n"))
+    finish = lambda acc: F.when(acc["n"] == 0, 0.0).otherwise(F.log2(acc["n"]) - (acc["done"] + weigh(acc["run"])) / acc["n"])
+    return F.aggregate(F.array_sort(ids), start, add, finish)
 
 
 def _fraction(make: Callable[..., Score]) -> Callable[..., Score]:

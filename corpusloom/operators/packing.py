@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenizers import tokenizer
+from .transforms import range_part
 
 
 def encode(df: DataFrame, name: str = "char", eos: int = 0, column: str = "text") -> DataFrame:
@@ -27,9 +28,9 @@ def encode(df: DataFrame, name: str = "char", eos: int = 0, column: str = "text"
 def offsets(df: DataFrame, order: str, size: Column, name: str = "offset") -> DataFrame:
     """The sum of ``size`` over all rows before each row in the order, without a single-task window.
 
-    Ranges are assigned by sampled splits of ``order``; the sums of the ranges are few rows.
+    Ranges of ``order`` have fixed bounds; their sums are few rows.
     """
-    parted = df.withColumn("_size", size.cast("bigint")).repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    parted = df.withColumn("_size", size.cast("bigint")).withColumn("_part", range_part(df, order))
     totals = parted.groupBy("_part").agg(F.sum("_size").alias("_total"))
     before = totals.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_before"))
     within = F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
@@ -138,11 +139,12 @@ def noise(df: DataFrame, ratio: float = 0.05, mask: int | None = None, seed: int
         chance = F.coalesce(F.try_element_at(table, x), p) if table is not None else p
         return (i > 0) & (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < chance)
 
-    kept = F.transform("ids", lambda x, i: F.when(~gone(x, i), x))
     if mask is None:
-        return df.withColumn("ids", F.filter(kept, lambda x: x.isNotNull()))
-    first = F.transform(kept, lambda x, i: F.struct(F.coalesce(x, F.lit(mask)).alias("x"), (x.isNull() & (i > 0) & F.get(kept, i - 1).isNull()).alias("again")))
-    return df.withColumn("ids", F.transform(F.filter(first, lambda s: ~s["again"]), lambda s: s["x"]))
+        return df.withColumn("ids", F.filter("ids", lambda x, i: ~gone(x, i)))
+    # of a run of dropped tokens the first becomes the mask
+    again = lambda x, i: gone(x, i) & F.coalesce(gone(F.get(F.col("ids"), i - 1), i - 1), F.lit(False))
+    marked = F.transform("ids", lambda x, i: F.when(again(x, i), F.lit(None)).when(gone(x, i), F.lit(mask)).otherwise(x))
+    return df.withColumn("ids", F.filter(marked, lambda x: x.isNotNull()))
 
 
 def report(df: DataFrame, block_size: int = 2048, column: str = "text", ids: str = "ids") -> DataFrame:

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import langid, rewrite, scores, text
@@ -274,14 +274,26 @@ def zip_by_position(left: DataFrame, right: DataFrame, left_order: list[str], ri
     return number_rows(left, left_order, "_n").join(number_rows(right, right_order, "_n"), "_n").drop("_n")
 
 
+def range_part(df: DataFrame, key: str) -> Column:
+    """Number of the key's range among as many as there are shuffle partitions; null keys are in the first.
+
+    The bounds are collected (one row a range) and become literals, so that every plan that uses the
+    column, however it is pruned or coalesced, puts a key in the same range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.select(F.col(key).alias("k")).where("k IS NOT NULL").repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    bounds = sorted(r.k for r in ranges.collect())[1:]
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))), F.lit(0))
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """Rows numbered from 0 in a global order, by range partitions and per-partition offsets rather than one task.
+    """Rows numbered from 0 in a global order, by ranges of the first key and their offsets rather than in one task.
 
     Rows that tie in ``order`` are numbered in an unspecified order; give a key for a stable result.
     """
-    from pyspark.sql import Window
-
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parted = df.withColumn("_part", range_part(df, order[0]))
     counts = parted.groupBy("_part").agg(F.count("*").alias("_size"))
     offsets = counts.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -131,7 +131,7 @@ def filter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MaxMin("text-length", 500, 3000).counters(docs(spark, sf_dir))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '[0-9]{5,}', '<number>', 'g') AS text FROM documents WHERE length(text) BETWEEN 100 AND 5000 AND length(text) > 0 AND strlen(text) >= length(text) + 1")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9]{5,}', '<number>', 'g'), '<number>(?:\s*<number>)+', '<number><number><number>', 'g') AS text FROM documents WHERE length(text) BETWEEN 100 AND 5000 AND length(text) > 0 AND strlen(text) >= length(text) + 1")
 def compose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = Compose([MaxMin("text-length", 100, 5000), MaxMin("byte-fraction", 1 + 1e-12), Replace("number:<number>")])
     return chain.apply(docs(spark, sf_dir)).select("doc_id", "text")
@@ -400,7 +400,7 @@ def resize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS size, count(*) OVER () AS total FROM documents), "
     "q AS (SELECT *, CAST(round_even(64.0 * size / total, 0) AS BIGINT) AS k FROM n), l AS (SELECT max(CAST(ceil(CAST(size AS DOUBLE) / k) AS BIGINT)) AS last FROM q WHERE k > 0) "
-    "SELECT source, at // k AS batch_no, doc_id FROM (SELECT lang AS source, k, last, doc_id, r + size * unnest(range(0, CAST(ceil(CAST(last * k AS DOUBLE) / size) AS BIGINT))) AS at FROM q, l WHERE k > 0) WHERE at // k < last"
+    "SELECT source, place // k AS batch_no, doc_id FROM (SELECT lang AS source, k, last, doc_id, r + size * unnest(range(0, CAST(ceil(CAST(last * k AS DOUBLE) / size) AS BIGINT))) AS place FROM q, l WHERE k > 0) WHERE place // k < last"
 )
 def mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "lang")
@@ -499,7 +499,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_EXACT = f"SELECT doc_id, model, test, (CASE WHEN CAST(CAST(regexp_extract(output[1], '([0-9]+)', 1) AS BIGINT) AS VARCHAR) = reference THEN 0.5 ELSE 0.0 END + 0.5) AS score FROM ({_SAMPLES})"
+_EXACT = f"SELECT doc_id, model, test, (CASE WHEN CAST(CAST(regexp_extract(output[1], '([0-9]+)', 1) AS BIGINT) AS VARCHAR) = reference THEN 0.5 ELSE 0.0 END + 0.5)::DOUBLE AS score FROM ({_SAMPLES})"
 
 
 @query(_EXACT)
