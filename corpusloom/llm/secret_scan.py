@@ -43,7 +43,7 @@ PATTERNS = (
     ("user", "identifier", False, re.compile(r"(?i)(?<![a-z])(?:user(?:name)?|login|account)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([\w.@+-]{2,})")),
 )
 #: What each pattern needs at least; texts without any of it never reach Python.
-PREFILTER = r"[@=:]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|glpat-|sk_live_|[0-9a-f]{32}|[0-9]\.[0-9]"
+PREFILTER = r"[@=:]|-----BEGIN |AKIA|ASIA|gh[pousr]_|xox[abprs]-|glpat-|sk_live_|[0-9a-f]{32}|[0-9]\.[0-9]"
 SCHEMA = "doc_id long, kind string, role string, strong boolean, start long, end long"
 
 

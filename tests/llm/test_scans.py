@@ -1,0 +1,171 @@
+"""Licence, secret and benchmark scans, quality rules and byte-level BPE against brute force and exact round trips."""
+
+import random
+import re
+
+import corpus_pipeline
+import duckdb
+import pyarrow as pa
+import pytest
+from corpusloom.llm import bpe_codec, decontaminate, license_scan, quality_rules, secret_scan
+from corpusloom.llm import textkit as tk
+
+
+def fold(text):
+    return [t.lower().strip(tk.PUNCTUATION) for t in text.split()]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["river", "house", "walks", "slowly", "green", "under", "bridge", "and", "the", "seldom"]) for _ in range(n))
+
+
+def test_licences_against_exact_containment():
+    """Whatever a window contains well enough is found, and nothing that isn't there."""
+    rng = random.Random(6)
+    texts, want = [], []
+    for k, (_, _, t) in enumerate(license_scan.TEMPLATES):
+        words = t.split()
+        if len(words) > 12:
+            words[rng.randrange(2, len(words) - 2)] = "altered"
+        texts.append(prose(rng, rng.randrange(60)) + "\n" + " ".join(words).upper() + ". " + prose(rng, rng.randrange(60)))
+        want.append(k)
+    texts += [prose(rng, 300) for _ in range(40)] + ["", "licensed under the"]
+    got = license_scan.scan_texts(pa.array(texts))
+    for k in want:
+        mine = {j for i, j, *_ in got if i == k}
+        longer = {j for j in mine if set(fold(license_scan.TEMPLATES[k][2])) <= set(fold(license_scan.TEMPLATES[j][2]))}
+        assert k in mine or longer, license_scan.TEMPLATES[k]
+    assert {i for i, *_ in got} == set(want)
+    for i, j, share, start, n in got:
+        pairs = lambda w: set(zip(w, w[1:], strict=False))
+        words, template = fold(texts[i]), pairs(fold(license_scan.TEMPLATES[j][2]))
+        step = max(1, n // 8)
+        window = pairs(words[max(start - step, 0) : start + n + step])
+        assert share == pytest.approx(len(window & template) / len(template)) and share >= license_scan.CONTAINMENT
+
+
+KEY = "AKIA" + "ABCDEFGH12345678"
+
+
+def brute_links(text, reach):
+    parts = secret_scan.parts(text)
+    out = set()
+    for kind, role, strong, a, b in parts:
+        other = {(r, x, y) for _, r, _, x, y in parts if (r == "secret") != (role == "secret") and x - reach < b + reach and a - reach < y + reach}
+        if strong or other:
+            gaps = [max(0, x - b, a - y) for _, x, y in other]
+            out.add((kind, role, strong, a, b, len(other), ",".join(sorted({r for r, *_ in other})), min(gaps, default=None)))
+    return out
+
+
+def test_secrets_against_brute_force(make_docs):
+    rng = random.Random(8)
+    bits = [KEY, "password: hunter22", "user: someone", "https://db.example.org/x", "a@b.example.com", "10.1.2.3:5432", "d41d8cd98f00b204e9800998ecf8427e", "secret=Zk3v9QmX72LpwRt5YbNc", "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = []
+    for d in range(80):
+        text = prose(rng, rng.randrange(5))
+        for _ in range(rng.randrange(5)):
+            text += " " + rng.choice(bits) + " " + prose(rng, rng.choice((0, 3, 60, 120)))
+        rows.append((d, text))
+    rows += [(100, "password: hunter22 " + prose(rng, 20)), (101, KEY), (102, "日本 " + KEY)]
+    got = {}
+    for r in secret_scan.scan(make_docs([*rows, rows[0]]), 150).collect():
+        got.setdefault(r.doc_id, set()).add(tuple(r)[1:])
+    want = {d: w for d, t in rows if (w := brute_links(t, 150))}
+    assert got == want
+    assert 100 not in got and {r[3] for r in got[102]} == {3}
+
+
+ITEM = "A farmer has 12 cows and sells 5 of them to Maria for 300 dollars each. How much money does the farmer get from Maria in the end?"
+
+
+def test_decontamination_of_templates(make_docs, spark):
+    other = ITEM.replace("12", "31").replace("5 ", "9 ").replace("Maria", "Jonas").replace("300", "410")
+    mixed = ITEM.replace("Maria for", "Jonas for").replace("12", "31")  # Maria once Jonas, once Maria
+    rng = random.Random(2)
+    rows = [
+        (1, f"{prose(rng, 50)} {ITEM} {prose(rng, 50)}"), (2, f"Exercise. {other}"), (3, mixed), (4, prose(rng, 200)),
+        (5, "A farmer has 12 cows."), (6, ITEM[: len(ITEM) * 3 // 4]), (7, ""), (8, prose(rng, 20_000) + " " + ITEM),
+    ]
+    bench = spark.createDataFrame([(7, ITEM), (8, "Where do the tall herons sleep in winter when all the lakes freeze?")], "item_id long, text string")
+    sent = {tuple(r) for r in decontaminate.matches(make_docs(rows), bench).collect()}
+    joined = {tuple(r) for r in decontaminate.matches(make_docs(rows), bench, max_sent=0).collect()}
+    assert sent == joined
+    assert {(d, i) for d, i, *_ in sent} >= {(1, 7), (2, 7), (6, 7), (8, 7)}
+    assert not {d for d, *_ in sent} & {4, 5, 7}
+    changed = {d: c for d, _, _, _, _, c in sent}
+    assert changed[1] == 0 and changed[2] > 0
+    for limit in (2_000_000, 0):
+        kept = decontaminate.drop_contaminated(make_docs([*rows, (None, ITEM)]), bench, max_sent=limit)
+        assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - set(changed) | {None}
+
+
+def test_inconsistent_slots_are_no_match():
+    same = {(decontaminate.NUMBER, "5", "9"), (decontaminate.NUMBER, "12", "31")}
+    assert decontaminate._consistent(same)
+    assert not decontaminate._consistent(same | {(decontaminate.NUMBER, "5", "8")})
+    assert not decontaminate._consistent(same | {(decontaminate.NUMBER, "7", "9")})
+
+
+RULE_TEXTS = {
+    "few_words": " \t", "long_words": "Q" * 40 + "aeiou" * 9, "symbols": "a # b $ c % d & e * f ^", "pipes": "a | b | c | d | e |", "shouting": "THIS IS ALL SHOUTED AND VERY LOUD INDEED",
+    "exclaiming": "no! yes! why! now! go! run! hop! hey!", "repeating": "again " * 60, "few_letters": "12.5 (3) 44 .. 7-8 99 100 {} 3", "digits": "x1234 " * 25,
+    "ellipses": "one...\ntwo...\nthree...\nfour words", "bullets": "- a\n- b\n- c\n- d", "braces": "f { g } { h } { i } { j } words",
+}
+
+
+def test_rules_and_ablation(make_docs):
+    docs = make_docs([*enumerate(RULE_TEXTS.values()), (90, "A plain sentence of ordinary words, which nobody minds."), (91, None)])
+    book = {r.doc_id: r for r in quality_rules.ledger(docs).collect()}
+    bits = {r.name: r.bit for r in quality_rules.RULES}
+    for k, name in enumerate(RULE_TEXTS):
+        assert book[k].fail_bits >> bits[name] & 1, name
+    assert book[90].fail_bits == 0 and book[91].fail_bits == 1
+    for version in quality_rules.POLICIES:
+        kept = {r.doc_id for r in quality_rules.keep(docs, version).collect()}
+        assert kept == {d for d, r in book.items() if not r.fail_bits & quality_rules.mask(version)} == {d for d, r in book.items() if r[f"keep_{version}"]}
+    for r in quality_rules.ablation(quality_rules.ledger(docs)).collect():
+        assert r.n_failed == sum(b.fail_bits >> r.bit & 1 for b in book.values())
+        assert r.n_only == sum(b.fail_bits == 1 << r.bit for b in book.values())
+
+
+def test_rules_match_their_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    cur = con.execute(quality_rules.ledger_sql())
+    want = {r[0]: r for r in cur.fetchall()}
+    got = quality_rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert got.columns == [c[0] for c in cur.description]
+    assert {r.doc_id: tuple(r) for r in got.collect()} == want
+
+
+BPE_TEXTS = ["", " ", "Hello world", "  two  blanks\n\n\tand tabs ", "naïve 日本語 🙂👍🏽 1234567", "<|endoftext|> is text", "x" * 3000, "don't we'll I've", "a\r\n b  c  d\u0085 e", "\n".join(["line of words"] * 500)]
+
+
+def test_bpe_round_trip_and_splits(make_docs):
+    enc = bpe_codec.encoding(bpe_codec.RANKS)
+    rng = random.Random(9)
+    texts = BPE_TEXTS + ["".join(rng.choice("ab1 \n\t '.é日") for _ in range(400)) for _ in range(60)]
+    for t in texts:
+        assert bpe_codec.encode(t, limit=7).tolist() == enc.encode_ordinary(t)  # safe boundaries alter nothing
+    rows = [*enumerate(texts), (900, None)]
+    got = {r.doc_id: r for r in bpe_codec.encode_documents(make_docs(rows)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].token_ids == enc.encode_ordinary(t) and got[k].round_trip
+        assert (got[k].n_tokens, got[k].n_bytes) == (len(got[k].token_ids), len(t.encode()))
+    assert got[900].token_ids is got[900].n_tokens is got[900].round_trip is None
+    raw = {r.doc_id: r.raw for r in bpe_codec.decode_documents(bpe_codec.encode_documents(make_docs(rows))).collect()}
+    assert raw == {k: bytearray(t.encode()) for k, t in enumerate(texts)} | {900: None}
+
+
+def test_bpe_pieces_join_to_the_text():
+    for t in BPE_TEXTS:
+        assert "".join(bpe_codec.pieces(t, 5)) == t
+        assert all(re.match(r"\s", p) for p in list(bpe_codec.pieces(t, 5))[1:])
+
+
+def test_pipeline_agrees_with_its_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, docs.collect()))
