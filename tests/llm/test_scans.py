@@ -108,7 +108,7 @@ def test_inconsistent_slots_are_no_match():
 
 
 RULE_TEXTS = {
-    "few_words": " \t", "long_words": "Q" * 40 + "aeiou" * 9, "symbols": "a # b $ c % d & e * f ^", "pipes": "a | b | c | d | e |", "shouting": "THIS IS ALL SHOUTED AND VERY LOUD INDEED",
+    "few_words": " \t", "long_words": "Q" * 40 + "aeiou" * 9, "symbols": "a # b $ c % d & e * f ^ #", "pipes": "a | b | c | d | e |", "shouting": "THIS IS ALL SHOUTED AND VERY LOUD INDEED",
     "exclaiming": "no! yes! why! now! go! run! hop! hey!", "repeating": "again " * 60, "few_letters": "12.5 (3) 44 .. 7-8 99 100 {} 3", "digits": "x1234 " * 25,
     "ellipses": "one...\ntwo...\nthree...\nfour words", "bullets": "- a\n- b\n- c\n- d", "braces": "f { g } { h } { i } { j } words",
 }
