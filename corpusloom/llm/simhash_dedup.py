@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .spark_util import components, cut, texts
+from .spark_util import DOCUMENT_COLUMNS, components, cut, texts
 
 BITS = tk.SIMHASH_BITS
 DISTANCE = 52
@@ -229,6 +229,6 @@ def copies(docs: DataFrame, distance: int = DISTANCE, design_distance: int = 36,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that copies() lets go."""
+    """The document columns of docs without the documents that copies() lets go."""
     gone = copies(docs, **options).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return docs.select(*DOCUMENT_COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
