@@ -159,8 +159,11 @@ def simhash(tok: Tokens, bits: int = SIMHASH_BITS) -> tuple[np.ndarray, np.ndarr
     owner, code, _ = distinct_pairs(tok.owner, to[tok.codes], len(words))
     keep = length[code] > 0
     owner, code = owner[keep], code[keep]
-    weight = np.minimum(length, MAX_WEIGHT).astype(np.int8)
-    base = hash_strings(words, 11)
+    return weighted_simhash(owner, code, hash_strings(words, 11), np.minimum(length, MAX_WEIGHT), n, bits)
+
+
+def weighted_simhash(owner: np.ndarray, code: np.ndarray, base: np.ndarray, weight: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of n texts from their distinct (owner, code) pairs in order; base and weight (below 32) by code."""
     lanes = np.stack([mix64(base + U64(k * int(_BASE) % 2**64)) for k in range(bits // 64)], 1)
     counts = np.bincount(owner, minlength=n)
     on = np.unpackbits(lanes.view(np.uint8), axis=1)

@@ -18,7 +18,7 @@ def make_docs(spark):
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, an empty, a blank and a long text, a repeated row, and further columns of clashing names."""
-    long_text = " ".join(f"word{i % 977} runs" for i in range(60_000))
+    long_text = " ".join(f"{chr(97 + i % 23) * 3}{chr(97 + i % 19)}ly runs" for i in range(60_000))
     rows = [
         (1, None, None, None, None), (None, "some words of no document at all", "en", None, None), (2, "", "en", "web", 0), (3, " \n\t ", "en", "web", 4),
         (4, long_text, "en", "web", len(long_text)), (5, "Equal rows stand here twice.", "en", "web", 28), (5, "Equal rows stand here twice.", "en", "web", 28), (None, None, None, None, None),
