@@ -45,6 +45,22 @@ def test_other_query_runs(spark, sf_dir, name):
     assert got.columns and got.count() >= 0
 
 
+def test_editsim_against_brute_force(spark, sf_dir):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    got = {r.item_id: r.score for r in registry.queries()["editsim"](spark, sf_dir).collect()}
+    assert got == pytest.approx({i: 1 - distance(t, texts[i + 1]) / max(len(t), len(texts[i + 1])) for i, t in texts.items() if i + 1 in texts})
+
+
 def test_entry_points(spark):
     import __spark_entry__
 
