@@ -5,7 +5,8 @@ are copies. The search filters the list of fingerprints by partial weight: on a
 coordinates a fingerprint survives for a random centre if it lies unusually close to it; survivors
 recurse into the next strip, and what is left after all strips is a small list, compared by brute
 force. Close pairs survive together far more often than chance, and the whole is repeated until a
-pair at ``design_distance`` is met with probability ``recall``. The depth and the filter follow from
+pair at ``design_distance``, by default the limit itself, is met with probability ``recall`` (closer
+pairs with a greater one). The depth and the filter follow from
 the number of fingerprints, so that the small lists keep their size (``leaf``) at any scale.
 
 Texts of fewer than MIN_WORDS distinct words, where few words decide all bits, get a hash of their
@@ -76,10 +77,11 @@ class Plan:
         return np.random.default_rng([self.seed, repeat, level]).choice(np.array([-1, 1], np.float32), (self.strip, self.centres))
 
 
-def plan(n: int, leaf: int = 512, design_distance: int = 36, recall: float = 0.96) -> Plan:
+def plan(n: int, leaf: int = 1024, design_distance: int = DISTANCE, recall: float = 0.96) -> Plan:
     """Parameters for n fingerprints: lists of about ``leaf``, and enough repetitions for ``recall``."""
     n = max(n, 2 * leaf)
-    levels = max(1, math.ceil(math.log(n / leaf) / math.log(25)))
+    # few levels need few repetitions; up to leaf / 4 centres a level cost no more than the lists' comparisons
+    levels = max(1, math.ceil(math.log(n / leaf) / math.log(max(2, leaf // 4))))
     strip = BITS // levels
     want = (leaf / n) ** (1 / levels)
     tail, limit = 0.0, -1
@@ -115,7 +117,7 @@ def lists_of(fp: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(ids)
 
 
-def groups_within(fp: np.ndarray, distance: int, block: int = 1024) -> np.ndarray:
+def groups_within(fp: np.ndarray, distance: int, block: int = 2048) -> np.ndarray:
     """Label of each fingerprint's connected group (the least index in it), by brute force.
 
     A list of any length: members reached from a pivot leave the list, so a large group of copies
@@ -207,7 +209,7 @@ def near_edges(reps: DataFrame, p: Plan, distance: int) -> DataFrame:
     return lists.repartition("list").sortWithinPartitions("list").mapInArrow(brute, "a long, b long")
 
 
-def copies(docs: DataFrame, distance: int = DISTANCE, design_distance: int = 36, recall: float = 0.96, leaf: int = 512) -> DataFrame:
+def copies(docs: DataFrame, distance: int = DISTANCE, design_distance: int | None = None, recall: float = 0.96, leaf: int = 1024) -> DataFrame:
     """doc_id, duplicate_of: each document that goes, with the least doc_id of its group, which stays."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def copies(docs: DataFrame, distance: int = DISTANCE, design_distance: int = 36,
     prints = texts(docs).where("doc_id IS NOT NULL").mapInArrow(emit, f"doc_id long, {lanes}")
     prints = cut(prints.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*LANES))))
     reps = prints.where("doc_id = rep").dropDuplicates(["doc_id", *LANES])
-    p = plan(reps.count(), leaf, design_distance, recall)
+    p = plan(reps.count(), leaf, distance if design_distance is None else design_distance, recall)
     same = prints.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = near_edges(reps.select("doc_id", *LANES), p, distance).unionAll(same)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))

@@ -210,3 +210,18 @@ def test_plan_reaches_its_recall():
     pairs = [set(zip(*map(np.ndarray.tolist, x), strict=True)) for x in lists]
     met = {i for i, _ in pairs[0] & pairs[1]}
     assert len(met) >= 0.9 * 400
+
+
+@pytest.mark.parametrize("n", [300_000, 1_000_000, 14_000_000])
+def test_plan_reaches_its_recall_at_the_limit(n):
+    """Pairs as far apart as copies may be meet as often, however large the corpus."""
+    rng = np.random.default_rng(3)
+    p = simhash_dedup.plan(n)
+    bits = rng.integers(0, 2, (500, 256), np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.permutation(256)[: simhash_dedup.DISTANCE]] ^= 1
+    lists = [simhash_dedup.lists_of(np.packbits(x, axis=1).view(np.uint64), p) for x in (bits, other)]
+    pairs = [set(zip(*map(np.ndarray.tolist, x), strict=True)) for x in lists]
+    met = {i for i, _ in pairs[0] & pairs[1]}
+    assert len(met) >= 0.92 * 500
