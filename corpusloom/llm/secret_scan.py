@@ -8,7 +8,10 @@ an endpoint with a secret. Two parts co-occur if they stand in one document and
 each widened by ``reach`` characters, overlap. That is an interval join on buckets of positions.
 
 Defined results. Positions count code points, end exclusive. A null or empty text has no parts; where
-two patterns overlap the earlier in PATTERNS wins, then the first and longest match. A null doc_id
+two patterns of one role overlap the earlier in PATTERNS wins, then the first and longest match. No
+string is both a secret and an identifier (again the earlier wins), and an endpoint that begins within
+a secret is part of it; but an endpoint around a secret or an identifier (a URL with a password, token,
+user or key id in it) is a part beside them, at distance 0. A null doc_id
 can't be joined on: its rows are left out. Rows of one doc_id are one document, equal parts of
 repeated rows count once. An empty table gives an empty result; columns other than doc_id and text
 are not read.
@@ -35,9 +38,12 @@ PATTERNS = (
     ("private_key", "secret", True, re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)")),
     ("service_token", "secret", True, re.compile(r"(?<![A-Za-z0-9_])((?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20}|sk_live_[A-Za-z0-9]{16,}))(?![A-Za-z0-9_])")),
     ("access_key_id", "identifier", True, re.compile(r"(?<![A-Z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Z0-9])")),
+    ("url_password", "secret", False, re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")),
+    ("assigned", "secret", None, re.compile(rf"(?i)[?&](?:[a-z]+[_-])*{_NAMES}=([^\s\"'<>,;&#]{{4,}})")),
     ("assigned", "secret", None, re.compile(rf"(?i)(?<![a-z]){_NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{4,}})")),
     ("hex", "secret", False, re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{32,128})(?![0-9A-Za-z])")),
     ("url", "endpoint", False, re.compile(r"((?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+)")),
+    ("url_user", "identifier", False, re.compile(r"://([^\s/:@\"'<>]+)(?::[^\s/@\"'<>]*)?@")),
     ("email", "identifier", False, re.compile(r"(?<![\w.+-])([\w.+-]+@[\w-]+(?:\.[\w-]+)+)")),
     ("ipv4", "endpoint", False, re.compile(r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?)(?![\d.]*\d)")),
     ("user", "identifier", False, re.compile(r"(?i)(?<![a-z])(?:user(?:name)?|login|account)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([\w.@+-]{2,})")),
@@ -52,24 +58,35 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
+def apart(spans: list[tuple[int, int]], spots: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of the ascending spans overlaps none of the spots, which don't overlap each other."""
+    spots = sorted(spots)
+    k, out = 0, []
+    for a, b in spans:
+        while k < len(spots) and spots[k][1] <= a:
+            k += 1
+        out.append(k == len(spots) or spots[k][0] >= b)
+    return out
+
+
 def parts(text: str) -> list[tuple[str, str, bool, int, int]]:
     """(kind, role, strong, start, end) of a text's parts, in order of position."""
     found: list[tuple[str, str, bool, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken: dict[str, list[tuple[int, int]]] = {"secret": [], "identifier": [], "endpoint": []}
     for kind, role, strong, pattern in PATTERNS:
-        new = []
-        spots = sorted(taken)
-        k = 0
-        for m in pattern.finditer(text):
-            a, b = m.span(1)
-            while k < len(spots) and spots[k][1] <= a:
-                k += 1
-            if k < len(spots) and spots[k][0] < b:
-                continue
-            sure = strong if strong is not None else b - a >= 16 and entropy(m[1]) >= 3
-            new.append((kind, role, sure, a, b))
-        found += new
-        taken += [(a, b) for *_, a, b in new]
+        got = [(*m.span(1), m[1]) for m in pattern.finditer(text)]
+        if not got:
+            continue
+        spans = [(a, b) for a, b, _ in got]
+        if role == "endpoint":
+            free = [x and y for x, y in zip(apart(spans, taken[role]), apart([(a, a + 1) for a, _ in spans], taken["secret"]), strict=True)]
+        else:
+            free = apart(spans, taken["secret"] + taken["identifier"])
+        for (a, b, part), good in zip(got, free, strict=True):
+            if good:
+                sure = strong if strong is not None else b - a >= 16 and entropy(part) >= 3
+                found.append((kind, role, sure, a, b))
+                taken[role].append((a, b))
     return sorted(found, key=lambda p: (p[3], p[4]))
 
 
