@@ -1,11 +1,14 @@
 """Benchmark decontamination on canonical templates.
 
-Tokens are folded; numbers, names (capitalised within a sentence and never in lower case in the same
-text) and units (after a number) become typed placeholders, so that a question with other numbers and
+Tokens are folded; numbers, names (capitalised within a sentence, and never in lower case, in the
+same text; and as a second reading, within NEAR tokens) and units (after a number) become typed placeholders, so that a question with other numbers and
 names has the template of the original. Hashes of template windows are joined with those of the
 benchmark. A document is contaminated by an item if windows on one alignment (several together, if
 they agree) cover ``coverage`` of the item's windows and the slots are consistent: within a type one
-item value always stands for one document value and different ones for different ones.
+item value always stands for one document value and different ones for different ones. Apart from
+that, windows of the plain folded tokens, values included, are compared in the same way, so that a
+verbatim copy is found whatever its case, what the rest of the document makes of its names, and
+however few its literals.
 
 The benchmark's windows go to every executor while there are at most ``max_sent`` of them; beyond
 that the document windows are shuffled and joined with them. Either way the verification is the same.
@@ -39,6 +42,8 @@ MIN_ITEM = 4
 COVERAGE = 0.5
 #: Literal tokens that a window needs, so that a row of placeholders is no evidence.
 LITERALS = 4
+#: Tokens to either side that decide whether a capitalised token is a name.
+NEAR = 40
 MAX_SENT = 2_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
 UNITS = frozenset(
@@ -59,12 +64,26 @@ class Template:
     kinds: np.ndarray
     code: np.ndarray
     words: pa.Array
+    plain: np.ndarray  # hashes of the folded tokens, slots or not
+
+    def exact(self) -> Template:
+        """The same texts without placeholders."""
+        return Template(self.offsets, self.plain, np.zeros_like(self.kinds), self.code, self.words, self.plain)
 
     def word(self, at: int) -> str:
         return self.words[int(self.code[at])].as_py()
 
 
-def canonical(text: pa.Array) -> Template:
+def _near(key: np.ndarray, among: np.ndarray, reach: int) -> np.ndarray:
+    """Whether one of the sorted keys is at most ``reach`` away."""
+    if not len(among):
+        return np.zeros(len(key), bool)
+    at = np.searchsorted(among, key)
+    return (np.abs(among[np.minimum(at, len(among) - 1)] - key) <= reach) | (np.abs(among[np.maximum(at - 1, 0)] - key) <= reach)
+
+
+def canonical(text: pa.Array, reach: int | None = None) -> Template:
+    """Names are decided within ``reach`` tokens, or from the whole text."""
     tok = tk.tokenise(text)
     folded_all = tk.fold(tok.words)
     enc = folded_all.dictionary_encode()
@@ -90,12 +109,10 @@ def canonical(text: pa.Array) -> Template:
     if len(mid):
         n = max(len(words), 1)
         key = owner * n + f
-        seen = np.unique(key[mid])
-        place = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
-        among = seen[place] == key  # also capitalised within a sentence somewhere in this text
-        plain = np.zeros(len(seen), bool)
-        plain[place[among & ~cap]] = True
-        name = among & cap & ~plain[place]
+        if reach is not None:
+            key = key * (len(f) + reach + 1) + np.arange(len(f))
+        at = np.flatnonzero(cap)
+        name[at] = _near(key[at], np.sort(key[mid]), reach or 0) & ~_near(key[at], np.sort(key[~cap]), reach or 0)
     num = number[f] if len(f) else np.zeros(0, bool)
     after = np.zeros(len(f), bool)
     after[1:] = num[:-1] & (owner[1:] == owner[:-1])
@@ -103,10 +120,11 @@ def canonical(text: pa.Array) -> Template:
     kinds = np.where(num, NUMBER, np.where(is_unit, UNIT, np.where(name, NAME, 0))).astype(np.int8)
     literal = tk.hash_strings(words, 5)
     slots = tk.mix64(np.arange(4, dtype=np.uint64) + tk.U64(77))
-    values = np.where(kinds == 0, literal[f] if len(f) else np.zeros(0, tk.U64), slots[kinds])
+    plain = literal[f] if len(f) else np.zeros(0, tk.U64)
+    values = np.where(kinds == 0, plain, slots[kinds])
     keep = ~blank[f] if len(f) else np.zeros(0, bool)
     offsets = np.concatenate([[0], np.cumsum(keep)])[tok.offsets]
-    return Template(offsets, values[keep], kinds[keep], f[keep], words)
+    return Template(offsets, values[keep], kinds[keep], f[keep], words, plain[keep])
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,8 +143,8 @@ def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Benchmark:
     """Canonical items and the sorted hashes of their windows, by window width."""
 
-    def __init__(self, ids: np.ndarray, text: pa.Array, width: int):
-        self.ids, self.template = ids, canonical(text)
+    def __init__(self, ids: np.ndarray, template: Template, width: int):
+        self.ids, self.template = ids, template
         lengths = np.diff(self.template.offsets)
         self.width = np.where(lengths >= width, width, lengths)
         self.count = np.zeros(len(ids), np.int64)
@@ -148,9 +166,19 @@ def _consistent(pairs: set[tuple[int, str, str]]) -> bool:
     return all(len(x) == 1 for x in there.values()) and all(len(x) == 1 for x in back.values())
 
 
-def _hits(text: pa.Array, bench: Benchmark) -> tuple[Template, np.ndarray]:
-    """The texts' template and rows (owner, item, place, item's place, width) of equal windows."""
+def _readings(text: pa.Array) -> tuple[Template, ...]:
+    """With the names of the whole text, with those of the neighbourhood, and without placeholders."""
     t = canonical(text)
+    return t, canonical(text, NEAR), t.exact()
+
+
+def _layers(ids: np.ndarray, text: pa.Array, width: int) -> tuple[Benchmark, ...]:
+    """The benchmark in each reading."""
+    return tuple(Benchmark(ids, t, width) for t in _readings(text))
+
+
+def _hits(t: Template, bench: Benchmark) -> np.ndarray:
+    """Rows (owner, item, place, item's place, width) of equal windows."""
     found = []
     for w, (h, owner, at) in bench.by_width.items():
         d_owner, d_at, d_h = windows(t, w)
@@ -162,7 +190,7 @@ def _hits(text: pa.Array, bench: Benchmark) -> tuple[Template, np.ndarray]:
         mine = np.repeat(some, size)
         found.append(np.stack([d_owner[mine], owner[b], d_at[mine], at[b], np.full(len(b), w)], 1))
     rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-    return t, rows[np.lexsort((rows[:, 3] - rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.lexsort((rows[:, 3] - rows[:, 2], rows[:, 1], rows[:, 0]))]
 
 
 def _verify(t: Template, bench: Benchmark, rows: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -185,6 +213,14 @@ def _verify(t: Template, bench: Benchmark, rows: np.ndarray, coverage: float) ->
                 break
 
 
+def _found(text: pa.Array, layers: tuple[Benchmark, ...], coverage: float) -> list[tuple[int, ...]]:
+    """_verify()'s rows in all readings; what several find is reported by the first."""
+    got = {}
+    for t, bench in reversed(list(zip(_readings(text), layers, strict=True))):
+        got |= {row[:2]: row for row in _verify(t, bench, _hits(t, bench), coverage)}
+    return [got[k] for k in sorted(got)]
+
+
 def _columns(ids: pa.Array, bench: Benchmark, found: list[tuple[int, ...]]) -> pa.RecordBatch:
     a = np.array(found, np.int64).reshape(-1, 6)
     cols = [ids.take(pa.array(a[:, 0])), pa.array(bench.ids[a[:, 1]]), *(pa.array(np.ascontiguousarray(a[:, k])) for k in (2, 3, 4, 5))]
@@ -199,13 +235,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
 
 
-def _local(items: DataFrame, width: int, max_sent: int) -> Benchmark | None:
+def _local(items: DataFrame, width: int, max_sent: int) -> tuple[Benchmark, ...] | None:
     """The benchmark for sending to the executors, or None if it is too large for that."""
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     if size > max_sent:
         return None
     got = items.orderBy("item_id").toArrow().combine_chunks()
-    return Benchmark(got.column("item_id").to_numpy(), tk.as_string(got.column("text")), width)
+    return _layers(got.column("item_id").to_numpy(), tk.as_string(got.column("text")), width)
 
 
 def _joined(docs: DataFrame, items: DataFrame, width: int, coverage: float) -> DataFrame:
@@ -215,14 +251,14 @@ def _joined(docs: DataFrame, items: DataFrame, width: int, coverage: float) -> D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in tk.slices(batch):
-                    t = canonical(part.column("text"))
-                    length = np.diff(t.offsets)
-                    for w in range(MIN_ITEM, width + 1):
-                        owner, _, h = windows(t, w)
+                    readings = _readings(part.column("text"))
+                    length = np.diff(readings[0].offsets)
+                    for w, reading, template in [(w, *x) for w in range(MIN_ITEM, width + 1) for x in enumerate(readings)]:
+                        owner, _, h = windows(template, w)
                         if name == "item_id":
                             mine = np.where(length >= width, width, length)[owner] == w
                             owner, h = owner[mine], h[mine]
-                        yield pa.RecordBatch.from_arrays([part.column(name).take(pa.array(owner)), pa.array(np.full(len(h), w, np.int32)), pa.array(h.view(np.int64))], names=[name, "w", "h"])
+                        yield pa.RecordBatch.from_arrays([part.column(name).take(pa.array(owner)), pa.array(np.full(len(h), len(readings) * w + reading, np.int32)), pa.array(h.view(np.int64))], names=[name, "w", "h"])
 
         return run
 
@@ -235,12 +271,8 @@ def _joined(docs: DataFrame, items: DataFrame, width: int, coverage: float) -> D
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                bench = Benchmark(one.column("item_id").to_numpy(), tk.as_string(one.column("item_text")), width)
-                yield _columns(one.column("doc_id"), bench, list(_verify(*_pair(one.column("text"), bench), coverage)))
-
-    def _pair(text: pa.Array, bench: Benchmark) -> tuple[Template, Benchmark, np.ndarray]:
-        t, rows = _hits(text, bench)
-        return t, bench, rows
+                layers = _layers(one.column("item_id").to_numpy(), tk.as_string(one.column("item_text")), width)
+                yield _columns(one.column("doc_id"), layers[0], _found(one.column("text"), layers, coverage))
 
     return both.mapInArrow(check, SCHEMA)
 
@@ -257,8 +289,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch):
-                t, rows = _hits(part.column("text"), held.value)
-                yield _columns(part.column("doc_id"), held.value, list(_verify(t, held.value, rows, coverage)))
+                yield _columns(part.column("doc_id"), held.value[0], _found(part.column("text"), held.value, coverage))
 
     return one.mapInArrow(run, SCHEMA).distinct()
 
@@ -278,8 +309,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
         start = 0
         for part in tk.slices(batch):
-            t, found = _hits(part.column("text"), held.value)
-            for owner, *_ in _verify(t, held.value, found, coverage):
+            for owner, *_ in _found(part.column("text"), held.value, coverage):
                 good[start + owner] = False
             start += part.num_rows
         return pd.Series(good)

@@ -193,3 +193,19 @@ def test_secrets_within_endpoints(make_docs):
         **({5: got[5]} if 5 in got else {}),
     }
     assert all(role == "secret" for role, _ in got.get(5, {}))
+
+
+def test_verbatim_items_among_clashing_case(make_docs, spark):
+    """matches() finds what a brute-force comparison of folded windows finds, whatever the case of names elsewhere."""
+    item = "On Monday Rose planted 12 tulips while her sister Rose Marie watered every bed in the garden of Lord Hill"
+    fresh = "On Monday Daisy planted 31 tulips while her sister Daisy Marie watered every bed in the garden of Lord Hill"
+    rng = random.Random(6)
+    clash = "the rose on a hill and a lord rose on monday "
+    rows = [(1, f"{clash}. {item}"), (2, item.lower()), (3, f"{prose(rng, 30)} {item.upper()} {prose(rng, 30)}"), (4, prose(rng, 90) + clash), (5, f"{fresh} . {prose(rng, 60)} one daisy on a hill"), (6, item[:40])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    words = lambda text: [w for w in fold(text) if w]
+    cuts = lambda w: {tuple(w[k : k + decontaminate.WINDOW]) for k in range(len(w) - decontaminate.WINDOW + 1)}
+    want = {d for d, t in rows if len(cuts(words(t)) & cuts(words(item))) >= decontaminate.COVERAGE * len(cuts(words(item)))}
+    for limit in (2_000_000, 0):
+        assert {r.doc_id for r in decontaminate.matches(make_docs(rows), bench, max_sent=limit).collect()} == want | {5}
+    assert want == {1, 2, 3}
