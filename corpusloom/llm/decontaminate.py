@@ -14,7 +14,8 @@ The benchmark's windows go to every executor while there are at most ``max_sent`
 that the document windows are shuffled and joined with them. Either way the verification is the same.
 
 Defined results. Null texts count as empty, empty texts and items match nothing. Items shorter than
-the window are compared as one window of their own length, those under MIN_ITEM tokens not at all.
+the window are compared as one window of their own length, those under MIN_ITEM tokens not at all
+(``uncompared`` reports them); items with few literals are found verbatim, not re-parameterised.
 Rows with a null doc_id or item_id take no part in ``matches`` and stay in ``drop_contaminated``.
 Repeated rows match once. Empty tables give empty results. Columns other than the ids and texts are
 not read.
@@ -235,6 +236,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
 
 
+def uncompared(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_tokens of the items with fewer than MIN_ITEM tokens, which are never compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.diff(canonical(tk.as_string(batch.column("text"))).offsets)
+            few = np.flatnonzero(n < MIN_ITEM)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(few)), pa.array(n[few])], names=["item_id", "n_tokens"])
+
+    return _items(benchmark).mapInArrow(run, "item_id long, n_tokens long")
+
+
 def _local(items: DataFrame, width: int, max_sent: int) -> tuple[Benchmark, ...] | None:
     """The benchmark for sending to the executors, or None if it is too large for that."""
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]

@@ -209,3 +209,13 @@ def test_verbatim_items_among_clashing_case(make_docs, spark):
     for limit in (2_000_000, 0):
         assert {r.doc_id for r in decontaminate.matches(make_docs(rows), bench, max_sent=limit).collect()} == want | {5}
     assert want == {1, 2, 3}
+
+
+def test_items_of_few_literals(make_docs, spark):
+    """Verbatim repeats of arithmetic and of names are found; items too short for a comparison are reported."""
+    items = [(1, "What is 12 + 7 * 3 - 4?"), (2, "meet Anna Berta Carl Dora Emil Frida Gustav Hanna"), (3, "Why 5?"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"some words. {items[0][1]} more words"), (2, f"some words {items[1][1]} more"), (3, "What is 13 + 8 * 2 - 5?"), (4, "Why 5?")]
+    for limit in (2_000_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(make_docs(rows), bench, max_sent=limit).collect()} == {(1, 1), (2, 2)}
+    assert {tuple(r) for r in decontaminate.uncompared(bench).collect()} == {(3, 2), (4, 0)}
