@@ -1,4 +1,4 @@
-"""Factorisation-machine classifier of document quality.
+"""Factorisation-machine classifier of document quality and toxicity, a head each.
 
 Features of a document: its distinct folded words hashed into N_WORDS buckets (each 1/sqrt(number of
 words)), and one-hot ranges of structure statistics and the metadata column lang (each 1). With
@@ -11,7 +11,8 @@ bound is a parameter of ``fit``) and fits on the driver; scoring is one map over
 Defined results: a null text is an empty text, a null or unknown lang its own bucket; a document
 without words is scored on its statistics alone. Each input row gives one output row, so repeated
 rows repeat and an empty table gives an empty result; a null doc_id is carried through. Labels that
-are null, or whose document is missing, are not used; without any usable label the scores are 0.5.
+are null, or whose document is missing, are not used (a row may label one head alone); a head without
+any usable label scores 0.5.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .spark_util import texts
 N_WORDS = 1 << 17
 N_STATS = 1 << 10
 K = 6
-HEADS = ("quality",)
+HEADS = ("quality", "toxic")
+#: Heads whose rare class weighs as much as the other one.
+BALANCED = ("toxic",)
 
 
 def features(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,12 +109,20 @@ class Model:
         return self.bias + linear_and_sums[:, :h] + 0.5 * ((sums**2).sum(2) - squares)
 
 
-def train(code: np.ndarray, x: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> Model:
-    """Full-batch Adam on the logistic loss; y is (rows, heads)."""
+def train(code: np.ndarray, x: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: float = 1e-4, seed: int = 5, balanced: tuple[int, ...] = ()) -> Model:
+    """Full-batch Adam on the logistic loss; y is (rows, heads), NaN where a row has no label for a head."""
     n, h = y.shape
+    known = ~np.isnan(y)
+    y = np.where(known, y, 0)
+    share = known / np.maximum(known.sum(0), 1)
+    for k in balanced:  # both classes of the head weigh alike
+        yes = known[:, k] & (y[:, k] == 1)
+        if yes.any() and (known[:, k] & ~yes).any():
+            share[:, k] *= np.where(yes, 0.5 / yes.sum(), 0.5 / (known[:, k] & ~yes).sum()) * known[:, k].sum()
     used, local = np.unique(code, return_inverse=True)
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros((len(used), h), np.float32), rng.normal(0, 0.02, (len(used), h * K)).astype(np.float32), np.zeros(h, np.float32)
+    v[:, np.repeat(~known.any(0), K)] = 0
     row = np.repeat(np.arange(n), np.diff(offsets))
     by_code = np.argsort(local, kind="stable")
     code_start = np.searchsorted(local[by_code], np.arange(len(used)))
@@ -120,7 +131,8 @@ def train(code: np.ndarray, x: np.ndarray, offsets: np.ndarray, y: np.ndarray, e
     params, m1, m2 = [b, w, v], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
     for t in range(1, epochs + 1):
         model = Model(b, w, v)
-        g = (1 / (1 + np.exp(-np.clip(model.margins(local, x, offsets), -30, 30))) - y).astype(np.float32) / n
+        g = (1 / (1 + np.exp(-np.clip(model.margins(local, x, offsets), -30, 30))) - y) * share
+        g = g.astype(np.float32)
         s = tk.row_sums(v, local, offsets[:-1], np.diff(offsets), x)
         gs = np.concatenate([g, np.repeat(g, K, 1) * s], 1)
         lin = tk.row_sums(gs, rows, code_start, code_size, xs)
@@ -139,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> Model:
     """Model from at most max_labelled labelled documents; labels holds doc_id and a 0/1 column per head."""
     spark = docs.sparkSession
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), *HEADS).where(" AND ".join(f"{c} IS NOT NULL" for c in ("doc_id", *HEADS)))
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), *HEADS).where("doc_id IS NOT NULL").where(" OR ".join(f"{c} IS NOT NULL" for c in HEADS))
         .groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in HEADS))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
@@ -153,24 +165,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> Model:
                 yield pa.RecordBatch.from_arrays([lists(code, pa.int32()), lists(x, pa.float32()), *(part.column(c) for c in HEADS)], names=["code", "x", *HEADS])
 
     one = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
-    got = one.mapInArrow(featurise, "code array<int>, x array<float>, quality double").toArrow()
+    got = one.mapInArrow(featurise, "code array<int>, x array<float>, " + ", ".join(f"{c} double" for c in HEADS)).toArrow()
     if not got.num_rows:
         empty = np.zeros((N_WORDS + N_STATS, len(HEADS) * K), np.float32)
         return Model(np.zeros(len(HEADS), np.float32), empty[:, : len(HEADS)], empty)
     code, x = (got.column(c).combine_chunks().flatten().to_numpy() for c in ("code", "x"))
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(got.column("code")).to_numpy())])
     y = np.stack([got.column(c).to_numpy() for c in HEADS], 1)
-    return train(code.astype(np.int64), x, offsets, y)
+    return train(code.astype(np.int64), x, offsets, y, balanced=tuple(HEADS.index(c) for c in BALANCED))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, quality_score and keep (score at least 0.5): one row per input row."""
+    """doc_id, quality_score, keep, toxic_score and toxic (flags: score at least 0.5): one row per input row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: (N_WORDS + N_STATS) rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch):
                 p = 1 / (1 + np.exp(-np.clip(held.value.margins(*features(part.column("text"), part.column("lang"))), -30, 30).astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=["doc_id", "quality_score", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for k in range(len(HEADS)) for x in (p[:, k], p[:, k] >= 0.5))], names=["doc_id", "quality_score", "keep", "toxic_score", "toxic"])
 
-    return texts(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, quality_score double, keep boolean")
+    return texts(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, quality_score double, keep boolean, toxic_score double, toxic boolean")

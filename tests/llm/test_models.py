@@ -94,3 +94,25 @@ def test_probabilities_of_words_sum_to_one(make_docs):
     lex = hmm_lm.lexicon(texts(make_docs([(1, "one two three four five six seven eight one one two")])), 3, 4)
     spread = np.exp(lex.log_spread())
     assert (spread[3:] * (lex.types + 1)).sum() == pytest.approx(4)
+
+
+def test_toxicity_on_held_out_labels(spark, sf_dir):
+    """Trained on the labels of even documents, the toxic head flags toxic ones among the odd with few errors (README: about a third of them), and the quality head still holds."""
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    got = quality_fm.score(docs, quality_fm.fit(docs, labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1"), "doc_id").select("keep", "quality", "toxic_score", quality_fm.F.col("toxic_score") >= 0.5, labels.toxic).toPandas()
+    got.columns = ["keep", "quality", "score", "flag", "toxic"]
+    known = got[got.toxic.notna()]
+    flag, toxic = known.flag.to_numpy(bool), known.toxic.to_numpy() == 1
+    known = got[got.quality.notna()]
+    assert (known.keep.to_numpy(bool) == (known.quality == 1).to_numpy()).mean() >= 0.95
+    assert toxic.sum() > 20 and flag[toxic].mean() >= 0.3 and toxic[flag].mean() >= 0.8
+
+
+def test_heads_are_masked_where_unlabelled():
+    """A head learns from its own labels as if rows without one weren't there; a head without labels scores 0.5."""
+    code, x, off = np.arange(8) % 4, np.ones(8), np.arange(9)
+    nan = np.nan
+    m = quality_fm.train(code, x, off, np.array([[1, nan], [0, nan], [1, nan], [nan, nan]] * 2))
+    p = 1 / (1 + np.exp(-m.margins(code, x, off)))
+    assert (p[:, 1] == 0.5).all() and p[0, 0] > 0.8 and p[1, 0] < 0.2
