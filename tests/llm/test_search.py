@@ -89,27 +89,100 @@ def test_line_dedup_against_brute_force(make_docs):
     assert found >= 0.9 * want_found > 90
 
 
-def test_line_dedup_recall_by_length():
-    """Share of pairs with two fifths of the edits that the bound allows that meet in a screened block (README: at the bound it is less)."""
+def at_the_bound(rng, line, kind):
+    """The line with every edit that the bound allows: a random character put in, replaced or taken out at random places."""
+    chars, k = list(line), int(0.1 * len(line))
+    if kind == "insert":
+        k = int(0.1 * (len(line) + k))
+    for _ in range(k):
+        if kind == "insert":
+            chars.insert(rng.randrange(len(chars) + 1), rng.choice("xyzq"))
+        elif kind == "end":
+            ends = [i for i, c in enumerate(chars) if c == " "] + [len(chars)]
+            chars.insert(rng.choice(ends), rng.choice("xyzq"))
+        else:
+            i = rng.choice([i for i, c in enumerate(chars) if c != " "])
+            chars[i : i + 1] = rng.choice("xyzq") if kind == "replace" else ""
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("kind", ["insert", "end", "replace", "delete"])
+@pytest.mark.parametrize("n_words", [2, 3, 4, 6, 8, 12, 16, 24, 40, 80, 160])
+def test_line_dedup_recall_at_the_bound(n_words, kind):
+    """Pairs as far apart as copies may be meet in a block and are near by SimHash, at every length."""
     rng = random.Random(4)
-    for n_words in (4, 8, 16, 40):
-        a = [" ".join(rng.choice(WORDS) for _ in range(n_words)) for _ in range(400)]
-        b = []
-        for x in a:
-            w = x.split()
-            left = int(0.1 * len(x))
-            while left > 0:
-                k = rng.randrange(len(w))
-                w[k] = w[k] + rng.choice("xyz")
-                left -= rng.choice((1, 4))
-            b.append(" ".join(w))
-        _, _, tok, length = line_dedup.normal_lines(pa.array(a + b))
-        fp = line_dedup.fingerprints(tok)
-        keys = line_dedup.block_keys(fp, length)
-        x, y = keys[: len(a)], keys[len(a) :]
-        low = np.uint64((1 << 40) - 1)
-        met = ((x >> np.uint64(40) == y >> np.uint64(40)) & (np.bitwise_count((x ^ y) & low) <= line_dedup.SCREEN)).any(1)
-        assert met.mean() >= 0.9, n_words
+    n = 300
+    a = [" ".join(rng.choice(WORDS) for _ in range(n_words)) for _ in range(n)]
+    b = [at_the_bound(rng, x, kind) for x in a]
+    _, _, tok, length = line_dedup.normal_lines(pa.array(a + b))
+    words = line_dedup.word_units(tok)
+    blocks = line_dedup.blocks_of(tok, words, length, line_dedup.line_hashes(words), None)
+    of = [set() for _ in range(2 * n)]
+    for key, line in zip(blocks.key.tolist(), blocks.line.tolist(), strict=True):
+        of[line].add(key)
+    met = np.array([bool(of[i] & of[n + i]) for i in range(n)])
+    fp = line_dedup.fingerprints(line_dedup.joined(tok))
+    longer = np.maximum(length[:n], length[n:])
+    near = tk.hamming(fp[:n], fp[n:]) <= line_dedup.NEAR + line_dedup.NEAR_ROOT / np.sqrt(longer)
+    assert (met & near).mean() >= 0.9
+
+
+def met_pairs(rows, similarity=0.9):
+    key, h, before, after = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+    return {tuple(p) for part in line_dedup.pairs_in(key, h, before, after, similarity) for p in part.tolist()}
+
+
+def test_lines_meet_where_the_rest_may_align():
+    rows = [(1, 10, 0, 100), (1, 11, 4, 104), (1, 12, 40, 60), (2, 10, 7, 90), (2, 10, 7, 90), (3, 12, 0, 50)]
+    assert met_pairs(rows) == {(10, 11)}
+    several = [(5, 100 + i, 3, 40) for i in range(line_dedup.WINDOW + 1)]
+    assert len(met_pairs(several)) == len(several) * (len(several) - 1) // 2  # all pairs of a block that isn't large
+
+
+def test_large_blocks_hold_together():
+    rows = [(key, 1000 + i, 3, 40) for key in range(4) for i in range(5000)]
+    pairs = met_pairs(rows)
+    assert len(pairs) <= 4 * line_dedup.WINDOW * 5000
+    assert len(set(groups_fast(pairs))) == 1
+
+
+def groups_fast(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[top(a)] = top(b)
+    return [top(x) for x in list(root)]
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(1)
+    key, h = rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)
+    before, after = rng.integers(0, 800, 50), rng.integers(0, 10**6, 50)
+    k2, h2, b2, a2 = line_dedup.unpack([line_dedup.pack(key[:20], h[:20], before[:20], after[:20]), b"", line_dedup.pack(key[20:], h[20:], before[20:], after[20:])])
+    assert (k2 == key % np.uint64(2**40)).all() and (h2 == h).all() and (b2 == before).all()
+    assert (np.abs(a2 - after) <= 1 + after // 2500).all()
+
+
+def test_frequent_blocks_grow(make_docs):
+    """A block that many lines share gives way to longer ones; lines that share all of it are salted, and still meet."""
+    rng = random.Random(3)
+    stem = " ".join(rng.choice(WORDS) for _ in range(30))
+    lines = [f"{stem} {rng.choice(WORDS)}{i} {rng.choice(WORDS)}{i}" for i in range(40)] + [f"{i}{rng.choice(WORDS)} {stem}" for i in range(40)]
+    _, _, tok, length = line_dedup.normal_lines(pa.array(lines))
+    words = line_dedup.word_units(tok)
+    h = line_dedup.line_hashes(words)
+    every = line_dedup.blocks_of(tok, words, length, h, None, levels=True)
+    key, count = np.unique(every.key, return_counts=True)
+    few = line_dedup.blocks_of(tok, words, length, h, key[count > 20])
+    _, count = np.unique(few.key, return_counts=True)
+    assert count.max() <= 20
+    assert set(few.line.tolist()) == set(range(80))
 
 
 def test_apply_keeps_one_line(make_docs):
