@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpusloom.llm import line_dedup, simhash_dedup, substring_dedup
+from corpusloom.llm import edit_distance, line_dedup, simhash_dedup, substring_dedup
 from corpusloom.llm import textkit as tk
 from corpusloom.llm.edit_distance import within
 from corpusloom.llm.spark_util import components
@@ -40,6 +40,26 @@ def test_bounded_distance():
     assert within(left, right, limits).tolist() == want
 
 
+def test_bit_vectors_equal_points():
+    """Both ways of the bounded distance, on texts of one to six words of 64 characters, equal a plain table."""
+    rng = random.Random(2)
+    for size in (5, 64, 65, 130, 200, 380):
+        left, right = [], []
+        for _ in range(40):
+            a = "".join(rng.choice("abcé日") for _ in range(size))
+            b = list(a)
+            for _ in range(rng.randrange(1 + size // 6)):
+                k = rng.randrange(len(b) + 1)
+                b[k : k + rng.randrange(2)] = rng.choice(["", "x", "ab"])
+            left.append(a)
+            right.append("".join(b) or "x")
+        limits = np.array([rng.randrange(1 + size // 5) for _ in left])
+        want = [levenshtein(a, b) <= m for a, b, m in zip(left, right, limits, strict=True)]
+        assert edit_distance._by_points(left, right, limits).tolist() == want
+        assert edit_distance._by_bits(left, right, limits, -(-size // 64)).tolist() == want
+        assert within(left * 30, right * 30, np.tile(limits, 30)).tolist() == want * 30
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 3), (20, 21), (5, 5), (None, 4), (20, 21)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect() if r.node != r.root}
@@ -128,12 +148,12 @@ def test_line_dedup_recall_at_the_bound(n_words, kind):
 
 
 def met_pairs(rows, similarity=0.9):
-    key, h, before, after = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True))
-    return {tuple(p) for part in line_dedup.pairs_in(key, h, before, after, similarity) for p in part.tolist()}
+    key, short, before, n = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+    return {tuple(p) for part in line_dedup.pairs_in(key, short, before, n, similarity) for p in part.tolist()}
 
 
 def test_lines_meet_where_the_rest_may_align():
-    rows = [(1, 10, 0, 100), (1, 11, 4, 104), (1, 12, 40, 60), (2, 10, 7, 90), (2, 10, 7, 90), (3, 12, 0, 50)]
+    rows = [(1, 10, 0, 100), (1, 11, 4, 108), (1, 12, 40, 100), (2, 10, 7, 100), (2, 10, 7, 100), (3, 12, 0, 100)]
     assert met_pairs(rows) == {(10, 11)}
     several = [(5, 100 + i, 3, 40) for i in range(line_dedup.WINDOW + 1)]
     assert len(met_pairs(several)) == len(several) * (len(several) - 1) // 2  # all pairs of a block that isn't large
@@ -163,10 +183,11 @@ def groups_fast(pairs):
 def test_packed_blocks():
     rng = np.random.default_rng(1)
     key, h = rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)
-    before, after = rng.integers(0, 800, 50), rng.integers(0, 10**6, 50)
-    k2, h2, b2, a2 = line_dedup.unpack([line_dedup.pack(key[:20], h[:20], before[:20], after[:20]), b"", line_dedup.pack(key[20:], h[20:], before[20:], after[20:])])
-    assert (k2 == key % np.uint64(2**40)).all() and (h2 == h).all() and (b2 == before).all()
-    assert (np.abs(a2 - after) <= 1 + after // 2500).all()
+    n = rng.integers(8, 10**6, 50)
+    before, short = (n * rng.random(50)).astype(np.int64), h >> np.uint64(16)
+    k2, h2, b2, n2 = line_dedup.unpack([line_dedup.pack(key[:20], short[:20], before[:20], n[:20]), b"", line_dedup.pack(key[20:], short[20:], before[20:], n[20:])])
+    assert (k2 == key % np.uint64(2**32)).all() and (h2 == short).all()
+    assert (np.abs(n2 - n) <= 1 + n // 2500).all() and (np.abs(b2 - before) <= 2 + n // 500 + n // 2500).all()
 
 
 def test_frequent_blocks_grow(make_docs):
