@@ -10,8 +10,10 @@ that, windows of the plain folded tokens, values included, are compared in the s
 verbatim copy is found whatever its case, what the rest of the document makes of its names, and
 however few its literals.
 
-The benchmark's windows go to every executor while there are at most ``max_sent`` of them; beyond
-that the document windows are shuffled and joined with them. Either way the verification is the same.
+The benchmark is taken in blocks of about ``block_tokens`` tokens, items being assigned to them by hash:
+a block's windows go to every executor and meet the windows of all documents there, so that no document
+window is shuffled. A benchmark that fits one block, as all known ones do, takes one pass over the
+documents; a larger one takes a pass a block, by the same plan.
 
 Defined results. Null texts count as empty, empty texts and items match nothing. Items shorter than
 the window are compared as one window of their own length, those under MIN_ITEM tokens not at all
@@ -24,14 +26,15 @@ not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -45,7 +48,7 @@ COVERAGE = 0.5
 LITERALS = 4
 #: Tokens to either side that decide whether a capitalised token is a name.
 NEAR = 40
-MAX_SENT = 2_000_000
+BLOCK_TOKENS = 2_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
 UNITS = frozenset(
     "kg g mg lb lbs oz ton tons tonne tonnes km m cm mm mile miles inch inches ft feet foot yard yards l ml litre litres liter liters gallon gallons "
@@ -248,73 +251,43 @@ def uncompared(benchmark: DataFrame) -> DataFrame:
     return _items(benchmark).mapInArrow(run, "item_id long, n_tokens long")
 
 
-def _local(items: DataFrame, width: int, max_sent: int) -> tuple[Benchmark, ...] | None:
-    """The benchmark for sending to the executors, or None if it is too large for that."""
+def _blocks(items: DataFrame, width: int, block_tokens: int) -> Iterator[tuple[Benchmark, ...]]:
+    """The benchmark block by block; each is bounded, and the driver makes the next when it is asked for."""
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    if size > max_sent:
-        return None
-    got = items.orderBy("item_id").toArrow().combine_chunks()
-    return _layers(got.column("item_id").to_numpy(), tk.as_string(got.column("text")), width)
+    n = -(-size // block_tokens)
+    for k in range(n):
+        got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").toArrow().combine_chunks()
+        yield _layers(got.column("item_id").to_numpy(), tk.as_string(got.column("text")), width)
 
 
-def _joined(docs: DataFrame, items: DataFrame, width: int, coverage: float) -> DataFrame:
-    """matches() for a benchmark of any size: windows of both sides meet in a shuffle."""
-
-    def hashes(name: str):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tk.slices(batch):
-                    readings = _readings(part.column("text"))
-                    length = np.diff(readings[0].offsets)
-                    for w, reading, template in [(w, *x) for w in range(MIN_ITEM, width + 1) for x in enumerate(readings)]:
-                        owner, _, h = windows(template, w)
-                        if name == "item_id":
-                            mine = np.where(length >= width, width, length)[owner] == w
-                            owner, h = owner[mine], h[mine]
-                        yield pa.RecordBatch.from_arrays([part.column(name).take(pa.array(owner)), pa.array(np.full(len(h), len(readings) * w + reading, np.int32)), pa.array(h.view(np.int64))], names=[name, "w", "h"])
-
-        return run
-
-    d = docs.mapInArrow(hashes("doc_id"), "doc_id long, w int, h long")
-    b = items.mapInArrow(hashes("item_id"), "item_id long, w int, h long")
-    pairs = d.join(b, ["w", "h"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("item_text")), "item_id").select("doc_id", "text", "item_id", "item_text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                layers = _layers(one.column("item_id").to_numpy(), tk.as_string(one.column("item_text")), width)
-                yield _columns(one.column("doc_id"), layers[0], _found(one.column("text"), layers, coverage))
-
-    return both.mapInArrow(check, SCHEMA)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, max_sent: int = MAX_SENT) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, slots, changed_slots of each contamination."""
+    spark = docs.sparkSession
     one = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    items = _items(benchmark)
-    bench = _local(items, width, max_sent)
-    if bench is None:
-        return _joined(one, items, width, coverage).distinct()
-    held = docs.sparkSession.sparkContext.broadcast(bench)
+    found = spark.createDataFrame([], SCHEMA)
+    for block in _blocks(_items(benchmark), width, block_tokens):
+        held = spark.sparkContext.broadcast(block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.slices(batch):
-                yield _columns(part.column("doc_id"), held.value[0], _found(part.column("text"), held.value, coverage))
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in tk.slices(batch):
+                    yield _columns(part.column("doc_id"), held.value[0], _found(part.column("text"), held.value, coverage))
 
-    return one.mapInArrow(run, SCHEMA).distinct()
+        found = found.unionAll(one.mapInArrow(run, SCHEMA))
+    return found.distinct()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, max_sent: int = MAX_SENT) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The document columns of the rows of docs that no benchmark item contaminates."""
     rows = docs.select(*DOCUMENT_COLUMNS)
-    bench = _local(_items(benchmark), width, max_sent)
-    if bench is None:
-        gone = matches(docs, benchmark, width, coverage, max_sent).select(F.col("doc_id").alias("gone_id")).distinct()
-        return rows.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast(bench)
+    for block in _blocks(_items(benchmark), width, block_tokens):
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(block), coverage)
+        rows = rows.where(F.col("doc_id").isNull() | F.col("text").isNull() | clean("text"))
+    return rows
+
+
+def _clean(held: Broadcast, coverage: float) -> Callable[..., Column]:
+    """Whether no item of the block contaminates a text."""
 
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
@@ -327,4 +300,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
             start += part.num_rows
         return pd.Series(good)
 
-    return rows.where(F.col("doc_id").isNull() | F.col("text").isNull() | clean("text"))
+    return clean

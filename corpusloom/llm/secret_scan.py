@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import texts
+from .spark_util import cut, texts
 
 REACH = 300
 _NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|private[_-]?key)"
@@ -48,8 +48,9 @@ PATTERNS = (
     ("ipv4", "endpoint", False, re.compile(r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?)(?![\d.]*\d)")),
     ("user", "identifier", False, re.compile(r"(?i)(?<![a-z])(?:user(?:name)?|login|account)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([\w.@+-]{2,})")),
 )
-#: What each pattern needs at least; texts without any of it never reach Python.
-PREFILTER = r"[@=:]|-----BEGIN |AKIA|ASIA|gh[pousr]_|xox[abprs]-|glpat-|sk_live_|[0-9a-f]{32}|[0-9]\.[0-9]"
+#: A text with a part that can be reported holds one of these strings, or both a bare hexadecimal string
+#: and a numeric address; the others never reach Python.
+HOLDS = ("@", "=", ":", "-----BEGIN ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "glpat-", "sk_live_")
 SCHEMA = "doc_id long, kind string, role string, strong boolean, start long, end long"
 
 
@@ -91,6 +92,8 @@ def parts(text: str) -> list[tuple[str, str, bool, int, int]]:
 
 
 def all_parts(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, role, strong, start, end of the parts of all texts in which one may be reported."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
@@ -101,7 +104,11 @@ def all_parts(docs: DataFrame) -> DataFrame:
             kind, role, strong, start, end = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kind, pa.string()), pa.array(role, pa.string()), pa.array(strong, pa.bool_()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "kind", "role", "strong", "start", "end"])
 
-    likely = texts(docs).where("doc_id IS NOT NULL").where(F.col("text").rlike(PREFILTER))
+    t = F.col("text")
+    some = t.rlike(r"[0-9]\.[0-9]") & t.rlike("[0-9a-f]{32}")
+    for s in reversed(HOLDS):
+        some = t.contains(s) | some
+    likely = texts(docs).where("doc_id IS NOT NULL").where(some)
     return likely.mapInArrow(run, SCHEMA).distinct()
 
 
@@ -127,4 +134,4 @@ def link(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, kind, role, strong, start, end, n_linked, linked_roles, nearest (null if nothing is linked)."""
-    return link(all_parts(docs), reach)
+    return link(cut(all_parts(docs)), reach)  # both sides of the join read the parts, and the texts are scanned once

@@ -24,7 +24,7 @@ OPERATORS = {
     "secret_scan": lambda s, d: secret_scan.scan(d),
     "bpe": lambda s, d: bpe_codec.encode_documents(d),
     "decontaminate": lambda s, d: decontaminate.matches(d, benchmark(s)),
-    "decontaminate_joined": lambda s, d: decontaminate.matches(d, benchmark(s), max_sent=0),
+    "decontaminate_blocks": lambda s, d: decontaminate.matches(d, benchmark(s), block_tokens=2),
     "simhash": lambda s, d: simhash_dedup.copies(d),
 }
 ROW_WISE = {"quality_fm", "quality_rules", "hmm_lm", "bpe"}

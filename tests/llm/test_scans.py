@@ -89,14 +89,14 @@ def test_decontamination_of_templates(make_docs, spark):
     ]
     bench = spark.createDataFrame([(7, ITEM), (8, "Where do the tall herons sleep in winter when all the lakes freeze?")], "item_id long, text string")
     sent = {tuple(r) for r in decontaminate.matches(make_docs(rows), bench).collect()}
-    joined = {tuple(r) for r in decontaminate.matches(make_docs(rows), bench, max_sent=0).collect()}
-    assert sent == joined
+    blocks = {tuple(r) for r in decontaminate.matches(make_docs(rows), bench, block_tokens=5).collect()}
+    assert sent == blocks
     assert {(d, i) for d, i, *_ in sent} >= {(1, 7), (2, 7), (6, 7), (8, 7)}
     assert not {d for d, *_ in sent} & {4, 5, 7}
     changed = {d: c for d, _, _, _, _, c in sent}
     assert changed[1] == 0 and changed[2] > 0
-    for limit in (2_000_000, 0):
-        kept = decontaminate.drop_contaminated(make_docs([*rows, (None, ITEM)]), bench, max_sent=limit)
+    for limit in (2_000_000, 5):
+        kept = decontaminate.drop_contaminated(make_docs([*rows, (None, ITEM)]), bench, block_tokens=limit)
         assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - set(changed) | {None}
 
 
@@ -206,8 +206,8 @@ def test_verbatim_items_among_clashing_case(make_docs, spark):
     words = lambda text: [w for w in fold(text) if w]
     cuts = lambda w: {tuple(w[k : k + decontaminate.WINDOW]) for k in range(len(w) - decontaminate.WINDOW + 1)}
     want = {d for d, t in rows if len(cuts(words(t)) & cuts(words(item))) >= decontaminate.COVERAGE * len(cuts(words(item)))}
-    for limit in (2_000_000, 0):
-        assert {r.doc_id for r in decontaminate.matches(make_docs(rows), bench, max_sent=limit).collect()} == want | {5}
+    for limit in (2_000_000, 5):
+        assert {r.doc_id for r in decontaminate.matches(make_docs(rows), bench, block_tokens=limit).collect()} == want | {5}
     assert want == {1, 2, 3}
 
 
@@ -216,6 +216,89 @@ def test_items_of_few_literals(make_docs, spark):
     items = [(1, "What is 12 + 7 * 3 - 4?"), (2, "meet Anna Berta Carl Dora Emil Frida Gustav Hanna"), (3, "Why 5?"), (4, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, f"some words. {items[0][1]} more words"), (2, f"some words {items[1][1]} more"), (3, "What is 13 + 8 * 2 - 5?"), (4, "Why 5?")]
-    for limit in (2_000_000, 0):
-        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(make_docs(rows), bench, max_sent=limit).collect()} == {(1, 1), (2, 2)}
+    for limit in (2_000_000, 5):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(make_docs(rows), bench, block_tokens=limit).collect()} == {(1, 1), (2, 2)}
     assert {tuple(r) for r in decontaminate.uncompared(bench).collect()} == {(3, 2), (4, 0)}
+
+
+def plain_template(text, reach):
+    """(folded tokens, kinds, raw tokens): a definition of canonical() token by token."""
+    raw = text.split()
+    folded = fold(text)
+    number = [bool(re.search(decontaminate._NUMBER, f)) for f in folded]
+    capital = [bool((c := t.lstrip(tk.PUNCTUATION)[:1]) and c.isalpha() and c.isupper()) for t in raw]
+    begins = [i == 0 or bool(re.search(r"[.!?:…][\"'»”)\]]*$", raw[i - 1])) for i in range(len(raw))]
+    out = []
+    for i, f in enumerate(folded):
+        kind = 0
+        if number[i]:
+            kind = decontaminate.NUMBER
+        elif i and number[i - 1] and f in decontaminate.UNITS:
+            kind = decontaminate.UNIT
+        elif capital[i]:
+            near = [j for j in range(len(raw)) if folded[j] == f and (reach is None or abs(j - i) <= reach)]
+            if any(capital[j] and not begins[j] for j in near) and all(capital[j] for j in near):
+                kind = decontaminate.NAME
+        out.append((f, kind))
+    return [x for x in out if x[0]]
+
+
+def plain_matches(docs, items, coverage=decontaminate.COVERAGE, width=decontaminate.WINDOW):
+    found = {}
+    for reach in (None, decontaminate.NEAR, "exact"):
+        read = lambda t, reach=reach: [(f, 0) for f, _ in plain_template(t, None)] if reach == "exact" else plain_template(t, reach)
+        for d, text in docs:
+            there = read(text)
+            for i, item in items:
+                here = read(item)
+                w = min(width, len(here))
+                if w < decontaminate.MIN_ITEM:
+                    continue
+                at = lambda side, k, w=w: tuple(f if not kind else kind for f, kind in side[k : k + w])
+                rich = lambda side, k, w=w: sum(not kind for _, kind in side[k : k + w]) >= decontaminate.LITERALS
+                mine = [k for k in range(len(here) - w + 1) if rich(here, k)]
+                hits = [(a, b) for a in range(len(there) - w + 1) for b in mine if at(there, a) == at(here, b)]
+                for part in [hits] + [[(a, b) for a, b in hits if b - a == s] for s in sorted({b - a for a, b in hits})]:
+                    if not part or len({b for _, b in part}) < coverage * len(mine):
+                        continue
+                    slots = {(a + k, b + k) for a, b in part for k in range(w) if here[b + k][1]}
+                    pairs = {(here[b][1], here[b][0], there[a][0]) for a, b in slots}
+                    if len({p[:2] for p in pairs}) == len(pairs) == len({(k, v) for k, _, v in pairs}):
+                        changed = sum(here[b][0] != there[a][0] for a, b in slots)
+                        found.setdefault((d, i), (len({b for _, b in part}), len(mine), len(slots), changed))
+                        break
+    return {(*k, *v) for k, v in found.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decontamination_against_brute_force(make_docs, spark, seed):
+    """Names in clashing case, numbers with units, short items, copies with other slots and with gaps, repeats."""
+    rng = random.Random(seed)
+    names = ["Anna", "Berta", "Carl", "Dora", "Rose", "Hill"]
+    words = ["rose", "hill", "walks", "to", "the", "market", "buys", "apples", "for", "each", "and", "sells", "them", "how", "many", "remain", "today", "slowly"]
+
+    def token():
+        r = rng.random()
+        if r < 0.12:
+            return f"{rng.randrange(1, 40)} " + rng.choice(["km", "kg", "hours", "apples"])
+        return rng.choice(names) + rng.choice(["", "", ".", ","]) if r < 0.3 else rng.choice(words) + rng.choice(["", "", "", ".", "!", " -"])
+
+    def varied(text):
+        to = dict(zip(names, rng.sample(names, len(names)), strict=True))
+        text = re.sub("|".join(names), lambda m: to[m[0]], text)
+        return re.sub(r"\d+", lambda m: str(int(m[0]) + 41), text)
+
+    items = [(i, " ".join(token() for _ in range(rng.choice((2, 4, 6, 9, 15, 25, 40))))) for i in range(12)]
+    docs = []
+    for d in range(40):
+        text = " ".join(token() for _ in range(rng.choice((0, 5, 60))))
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)[1]
+            item = rng.choice([item, item, varied(item), item.upper(), item.lower(), " ".join(item.split()[: len(item.split()) * 2 // 3])])
+            text += f" {item} " + " ".join(token() for _ in range(rng.choice((0, 8, 50))))
+        docs.append((d, text))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.matches(make_docs(docs), bench, block_tokens=rng.choice((30, 2_000_000))).collect()}
+    want = plain_matches(docs, items)
+    assert got == want
+    assert len(want) > 15
