@@ -75,25 +75,62 @@ def test_expected_counts_are_exact():
     assert f == pytest.approx(first / z) and x == pytest.approx(moves / z) and e == pytest.approx(emissions / z) and ll == pytest.approx(np.log(z))
 
 
+def test_stretches_change_nothing(monkeypatch):
+    """Expected counts of long documents in stretches are those of whole documents."""
+    m = model(3, 7)
+    rng = np.random.default_rng(5)
+    sizes = [1, 700, 0, 8, 9, 64, 65, 300]
+    offsets = np.cumsum([0, *sizes])
+    symbols = rng.integers(0, 7, offsets[-1]).astype("<u2")
+
+    def counted(limit):
+        start, size, begins = hmm_lm.stretches(offsets, limit)
+        before, behind, moves = hmm_lm.boundaries(symbols, start, size, begins, m)
+        first, within, emissions, ll = hmm_lm.expected_counts(symbols, start, size, begins, m, before, behind)
+        return first, within + moves * m.move, emissions, ll
+
+    whole = counted(10_000)
+    assert whole[1].sum() == pytest.approx(sum(max(0, n - 1) for n in sizes)) and whole[2].sum() == pytest.approx(sum(sizes))
+    assert whole[3] == pytest.approx(hmm_lm.log_likelihood(symbols, offsets, m).sum())
+    for limit in (1, 8, 64):
+        for a, b in zip(counted(limit), whole, strict=True):
+            assert a == pytest.approx(b)
+
+
 def test_training_raises_the_likelihood(spark, sf_dir):
     docs = texts(table(spark, sf_dir, "documents"))
-    lex = hmm_lm.lexicon(docs, 300, 64)
+    lex = hmm_lm.lexicon(hmm_lm.word_counts(docs), 300, 64)
     _, history = hmm_lm.baum_welch(hmm_lm.symbolise(docs, lex), lex.counts, 4, 4)
     assert all(b >= a for a, b in itertools.pairwise(history)) and history[-1] > history[0]
 
 
 def test_counts_cover_the_corpus(spark, make_docs):
     docs = texts(make_docs([(1, "The cat, the CAT"), (2, "a dog!"), (3, None), (1, "The cat, the CAT")]))
-    assert {r.word: r.n for r in hmm_lm.word_counts(docs).collect()} == {"the": 4, "cat": 4, "a": 1, "dog": 1}
-    lex = hmm_lm.lexicon(docs, 2, 4)
-    assert lex.counts.sum() == 10 and lex.types.sum() == 2
-    assert sorted(lex.of(pa.array(["cat", "the"]))) == [0, 1]
-
-
-def test_probabilities_of_words_sum_to_one(make_docs):
-    lex = hmm_lm.lexicon(texts(make_docs([(1, "one two three four five six seven eight one one two")])), 3, 4)
-    spread = np.exp(lex.log_spread())
-    assert (spread[3:] * (lex.types + 1)).sum() == pytest.approx(4)
+    counts = hmm_lm.word_counts(docs)
+    assert {r.word: r.n for r in counts.collect()} == {"the": 4, "cat": 4, "a": 1, "dog": 1}
+    lex = hmm_lm.lexicon(counts, 2, 4)
+    assert lex.counts.sum() == 10 and lex.counts[2:].sum() == 2
+    assert sorted(lex.of(hmm_lm.word_hashes(pa.array(["cat", "the"])))) == [0, 1]
+    assert sorted(r.n for r in hmm_lm.rare_counts(counts, lex).collect()) == [1, 1]
+
+
+def test_scores_against_brute_force(make_docs):
+    """The score of every document is its symbols' likelihood by all paths, times each rare word's share of its bucket in the corpus."""
+    rows = [(1, "one two three"), (2, "four one five five"), (None, "Two! six"), (3, ""), (4, None), (2, "four one five five"), (5, "seven one seven"), (6, "- ...")]
+    docs = texts(make_docs(rows))
+    counts = hmm_lm.word_counts(docs)
+    lex = hmm_lm.lexicon(counts, 2, 3)
+    m = model(2, 5)
+    got = hmm_lm.score_sequences(hmm_lm.stage(hmm_lm.symbolise(docs, lex)), hmm_lm.rare_counts(counts, lex), m, lex).collect()
+    n = {r.word: r.n for r in counts.collect()}
+    symbol = {w: int(lex.of(hmm_lm.word_hashes(pa.array([w])))[0]) for w in n}
+    words = [[w for w in (x.strip("-.!").lower() for x in (t or "").split()) if w] for _, t in rows]
+    share = lambda w: n[w] / sum(n[v] for v in n if symbol[v] == symbol[w])
+    want = [(d, len(w), (brute_likelihood([symbol[x] for x in w], m) if w else 0) + sum(np.log(share(x)) for x in w)) for (d, _), w in zip(rows, words, strict=True)]
+    key = lambda r: (r[0] or 0, r[1], r[2])
+    for a, b in zip(sorted(((r.doc_id, r.n_tokens, r.log_likelihood) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a == pytest.approx(b)
+    assert all((r.perplexity is None) == (r.n_tokens == 0) for r in got)
 
 
 def test_toxicity_on_held_out_labels(spark, sf_dir):
