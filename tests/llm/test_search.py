@@ -180,6 +180,30 @@ def groups_fast(pairs):
     return [top(x) for x in list(root)]
 
 
+def test_linked_pairs_hold_their_groups_together():
+    """Some pairs are left out, but the groups are those of all similar pairs; repeated lines and pairs change nothing."""
+    rng = random.Random(9)
+    lines = []
+    for _ in range(4):
+        base = [rng.choice(WORDS) for _ in range(20)]
+        lines.append(" ".join(base))
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(20)] = rng.choice(WORDS)
+            lines.append(" ".join(w))
+    lines = sorted(set(lines))
+    h = [rng.randrange(-(2**63), 2**63) for _ in lines]
+    pairs = [(h[i], h[j]) for i in range(len(h)) for j in range(len(h)) if h[i] < h[j] and rng.random() < 0.8]
+    pairs += pairs[:50]
+    at = {x: i for i, x in enumerate(h)}
+    similar = {(at[a], at[b]) for a, b in pairs if levenshtein(lines[at[a]], lines[at[b]]) <= 0.1 * max(len(lines[at[a]]), len(lines[at[b]]))}
+    got = line_dedup.linked(pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}), pa.table({"h": [*h, h[0]], "norm": [*lines, lines[0]]}), 0.9)
+    got = {(at[a], at[b]) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)}
+    assert got < similar
+    assert groups(len(h), got) == groups(len(h), similar)
+
+
 def test_packed_blocks():
     rng = np.random.default_rng(1)
     key, h = rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)
