@@ -2,15 +2,21 @@
 
 Languages are tried in a fixed order. A language wins a chunk if it reaches the threshold, which every
 winner raises by one for those after it; so the winner is the last to exceed all before it, not
-simply the one with most hits. Words of the space-separated languages are looked up among the chunk's
-word tokens, which are cut once for all of them.
+simply the one with most hits.
+
+Whole texts are handled in one Arrow pass, which cuts the words of a chunk once and looks each up in
+one table of all languages. ``winner`` is the same as an expression, for use inside higher-order
+functions, where no Python function can stand.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langwords import WORDS
@@ -52,8 +58,70 @@ def counts(text: Column, langs: list[str] = ORDER, unique: bool = False, table:
     return F.transform(F.array(tokens), lambda ws: F.array(*(F.struct(F.lit(g).alias("lang"), big(_hits(text, ws, g, unique, table)).alias("n")) for g in langs)))[0]
 
 
+class _Counter:
+    """Hits of all languages in a chunk, as counts() has them."""
+
+    def __init__(self, langs: tuple[str, ...], unique: bool, table: str):
+        self.langs, self.unique, self.capped = langs, unique, unique and table == "strict"
+        self.of: dict[str, list[int]] = {}
+        self.patterns: list[tuple[int, re.Pattern]] = []
+        for k, g in enumerate(langs):
+            if g == "zh" or g in _BLOCKS or g in ("ja", "ko", "th"):
+                pattern = _CJK if g == "zh" else _BLOCKS.get(g) or "|".join(re.escape(w) for w in vocabulary(g))
+                self.patterns.append((k, re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern))))
+            else:
+                for w in dict.fromkeys(vocabulary(g, table)):
+                    self.of.setdefault(w, []).append(k)
+
+    def __call__(self, chunk: str) -> list[int]:
+        n = [0] * len(self.langs)
+        found = _WORD.findall(chunk)
+        for w in set(found) if self.unique else found:
+            for k in self.of.get(w.lower(), ()):
+                n[k] += 1
+        if not chunk.isascii() and _BEYOND.search(chunk):
+            for k, pattern in self.patterns:
+                hits = pattern.findall(chunk)
+                n[k] = len(set(hits) if self.unique else hits)
+                if self.capped and self.langs[k] == "zh":
+                    n[k] = min(len(hits), 1)
+        return n
+
+
+_WORD = re.compile(r"\w+")
+#: No pattern matches without a character from the Greek block on.
+_BEYOND = re.compile("[\u0370-\U0010ffff]")
+
+
+@lru_cache(maxsize=64)
+def _counting(langs: tuple[str, ...], unique: bool, min_words: int, table: str) -> Callable[[Column], Column]:
+    def run(text: pd.Series) -> pd.Series:
+        count = _Counter(langs, unique, table)
+        return pd.Series([None if t is None else [{"lang": g, "n": n} for g, n in zip(langs, count(t), strict=True) if n >= min_words] for t in text])
+
+    return F.pandas_udf(run, "array<struct<lang:string,n:bigint>>", F.PandasUDFType.SCALAR).asNondeterministic()  # not to be repeated by a filter
+
+
+@lru_cache(maxsize=64)
+def _winning(langs: tuple[str, ...], unique: bool, min_words: int, table: str) -> Callable[[Column], Column]:
+    def run(pieces: pd.Series) -> pd.Series:
+        count = _Counter(langs, unique, table)
+
+        def win(chunk: str) -> dict:
+            lang, bar = UNKNOWN, min_words
+            for g, n in zip(langs, count(chunk), strict=True):
+                if n >= bar:
+                    lang, bar = g, bar + 1
+            return {"lang": lang, "length": len(chunk)}
+
+        return pd.Series([None if p is None else [win(c) for c in p] for p in pieces])
+
+    return F.pandas_udf(run, "array<struct<lang:string,length:bigint>>", F.PandasUDFType.SCALAR).asNondeterministic()
+
+
 def count_lang(text: Column, langs: list[str] = ORDER, unique: bool = False, min_words: int = 5, table: str = "strict") -> Column:
-    return F.filter(counts(text, langs, unique, table), lambda c: c["n"] >= min_words)
+    """Array of (lang, n) of the languages with enough hits, in order of trial."""
+    return _counting(tuple(langs), bool(unique), min_words, table)(text)
 
 
 def winner(text: Column, langs: list[str] = ORDER, unique: bool = False, min_words: int = 5, table: str = "strict") -> Column:
@@ -61,9 +129,11 @@ def winner(text: Column, langs: list[str] = ORDER, unique: bool = False, min_wor
     return F.aggregate(counts(text, langs, unique, table), start, lambda acc, c: F.when(c["n"] >= acc["bar"], F.struct(c["lang"].alias("lang"), (acc["bar"] + 1).alias("bar"))).otherwise(acc), lambda acc: acc["lang"])
 
 
-def chunk_languages(text: Column, langs: list[str] = ORDER, unique: bool = True, min_words: int = 3, max_chunk_length: int = 200, table: str = "strict") -> Column:
-    """Array of (lang, length) of a text's chunks."""
-    return F.transform(chunks(text, max_chunk_length), lambda c: F.struct(winner(c, langs, unique, min_words, table).alias("lang"), big(F.length(c)).alias("length")))
+def chunk_languages(text: Column, langs: list[str] = ORDER, unique: bool = True, min_words: int = 3, max_chunk_length: int = 200, table: str = "strict", expression: bool = False) -> Column:
+    """Array of (lang, length) of a text's chunks; as an expression for use inside higher-order functions."""
+    if expression:
+        return F.transform(chunks(text, max_chunk_length), lambda c: F.struct(winner(c, langs, unique, min_words, table).alias("lang"), big(F.length(c)).alias("length")))
+    return _winning(tuple(langs), bool(unique), min_words, table)(chunks(text, max_chunk_length))
 
 
 def languages(of_chunks: Column) -> Column:
@@ -75,5 +145,4 @@ def languages(of_chunks: Column) -> Column:
 def volumes(df: DataFrame, of_chunks: str = "chunk_langs") -> DataFrame:
     """lang, volume (characters) and its share in percent."""
     v = df.select(F.explode(of_chunks).alias("c")).groupBy(F.col("c.lang").alias("lang")).agg(F.sum("c.length").alias("volume"))
-    total = v.agg(F.sum("volume").alias("total"))
-    return v.crossJoin(F.broadcast(total)).select("lang", "volume", (F.col("volume") * 100.0 / F.col("total")).alias("percent"))
+    return v.select("lang", "volume", (F.col("volume") * 100.0 / F.sum("volume").over(Window.partitionBy())).alias("percent"))  # a row per language

@@ -6,10 +6,11 @@ import zlib
 from collections.abc import Callable
 from urllib.parse import parse_qsl
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DoubleType, LongType
 
 from .text import big, distinct_chars, words
 from .tokenizers import tokenizer
@@ -74,22 +75,25 @@ def _tokens(tokenizer_: str = "char", unique: object = False) -> Score:
     return lambda t: big(F.size(F.array_distinct(encode(t)) if _flag(unique) else encode(t)))
 
 
-def entropy(ids: Column) -> Column:
-    """Shannon entropy in bits of an array's values; 0 for an empty array. One pass over the sorted array.
+@F.pandas_udf(DoubleType())
+def _entropy(ids: pd.Series) -> pd.Series:
+    def one(x: np.ndarray | None) -> float | None:
+        if x is None:
+            return None
+        if not len(x):
+            return 0.0
+        c = np.unique(x, return_counts=True)[1]
+        return float(np.log2(len(x)) - (c * np.log2(c)).sum() / len(x))
 
-    With runs of c equal values among n it is log2(n) - sum(c * log2(c)) / n.
-    """
-    weigh = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    return ids.map(one)
 
-    def add(acc: Column, x: Column) -> Column:
-        same = F.equal_null(acc["last"], x)
-        run = F.when(same, acc["run"] + 1.0).otherwise(1.0)
-        done = acc["done"] + F.when(same, 0.0).otherwise(weigh(acc["run"]))
-        return F.struct(x.alias("last"), run.alias("run"), done.alias("done"), (acc["n"] + 1.0).alias("n"))
 
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("done"), F.lit(0.0).alias("n"))
-    finish = lambda acc: F.when(acc["n"] == 0, 0.0).otherwise(F.log2(acc["n"]) - (acc["done"] + weigh(acc["run"])) / acc["n"])
-    return F.aggregate(F.array_sort(ids), start, add, finish)
+def entropy(ids: Column) -> Column:
+    """Shannon entropy in bits of an array's values; 0 for an empty array.
+
+    With runs of c equal values among n it is log2(n) - sum(c * log2(c)) / n; counted in numpy.
+    """
+    return _entropy(ids)
 
 
 def _fraction(make: Callable[..., Score]) -> Callable[..., Score]:

@@ -30,6 +30,10 @@ class Transform:
     def text(self, t: Column) -> Column:
         return t
 
+    def piece(self, t: Column) -> Column:
+        """``text`` for use inside higher-order functions, where no Python function can stand."""
+        return self.text(t)
+
     def records(self, t: Column) -> dict[str, Column]:
         return {}
 
@@ -68,9 +72,9 @@ def from_json(tree: dict | str) -> Transform:
     return _KINDS[tree["kind"]](**args)
 
 
-def _chain(parts: list[Transform], t: Column) -> Column:
+def _chain(parts: list[Transform], t: Column, inside: bool = False) -> Column:
     for p in parts:
-        t = F.when(t.isNotNull(), p.text(t))
+        t = F.when(t.isNotNull(), p.piece(t) if inside else p.text(t))
     return t
 
 
@@ -84,6 +88,9 @@ class Compose(Transform):
     def text(self, t: Column) -> Column:
         return _chain(self.parts, t)
 
+    def piece(self, t: Column) -> Column:
+        return _chain(self.parts, t, inside=True)
+
     def records(self, t: Column) -> dict[str, Column]:
         out: dict[str, Column] = {}
         for k, p in enumerate(self.parts):
@@ -101,6 +108,9 @@ class Choice(Transform):
     def text(self, t: Column) -> Column:
         return F.coalesce(*(p.text(t) for p in self.parts)) if self.parts else t
 
+    def piece(self, t: Column) -> Column:
+        return F.coalesce(*(p.piece(t) for p in self.parts)) if self.parts else t
+
     def records(self, t: Column) -> dict[str, Column]:
         return {k: c for p in self.parts for k, c in p.records(t).items()}
 
@@ -114,7 +124,7 @@ class LineByLine(Transform):
     sep: str = "\n"
 
     def text(self, t: Column) -> Column:
-        return F.array_join(F.transform(text.lines(t, self.sep), lambda x: F.coalesce(_chain(self.parts, x), F.lit(""))), self.sep)
+        return F.array_join(F.transform(text.lines(t, self.sep), lambda x: F.coalesce(_chain(self.parts, x, inside=True), F.lit(""))), self.sep)
 
 
 @kind
@@ -126,7 +136,7 @@ class Chunked(Transform):
     max_chunk_length: int = 200
 
     def text(self, t: Column) -> Column:
-        done = F.transform(text.chunks(t, self.max_chunk_length), lambda x: F.coalesce(_chain(self.parts, x), F.lit("")))
+        done = F.transform(text.chunks(t, self.max_chunk_length), lambda x: F.coalesce(_chain(self.parts, x, inside=True), F.lit("")))
         return F.when(F.size(done) > 0, F.array_join(done, "\n"))
 
 
@@ -222,19 +232,34 @@ class LangSet(Transform):
     record_key: str | None = "lang"
     table: str = "strict"
 
-    def _found(self, t: Column) -> Column:
-        return langid.languages(langid.chunk_languages(t, unique=self.unique, min_words=self.min_words, max_chunk_length=self.max_chunk_length, table=self.table))
+    def _found(self, t: Column, expression: bool = False) -> Column:
+        return langid.languages(langid.chunk_languages(t, unique=self.unique, min_words=self.min_words, max_chunk_length=self.max_chunk_length, table=self.table, expression=expression))
 
-    def text(self, t: Column) -> Column:
+    def _kept(self, t: Column, found: Callable[[], Column]) -> Column:
         long = F.length(t) >= 40
         if self.langset is None:
             return F.when(long, t)
         wanted = self.langset.split(",") if isinstance(self.langset, str) else list(self.langset)
-        return F.when(long, F.when(F.arrays_overlap(self._found(t), F.array(*map(F.lit, wanted))), t))
+        return F.when(long, F.when(F.arrays_overlap(found(), F.array(*map(F.lit, wanted))), t))
+
+    def text(self, t: Column) -> Column:
+        return self._kept(t, lambda: self._found(t))
+
+    def piece(self, t: Column) -> Column:
+        return self._kept(t, lambda: self._found(t, expression=True))
 
     def records(self, t: Column) -> dict[str, Column]:
         return {self.record_key: F.array_join(self._found(t), ",")} if self.record_key else {}
 
+    def annotate(self, df: DataFrame, column: str = "text") -> DataFrame:
+        if not self.record_key and self.langset is None:
+            return super().annotate(df, column)
+        t = F.col(column)
+        found = df.withColumn("_found", langid.chunk_languages(t, unique=self.unique, min_words=self.min_words, max_chunk_length=self.max_chunk_length, table=self.table))  # once for both
+        langs = langid.languages(F.col("_found"))
+        out = found.withColumns({self.record_key: F.array_join(langs, ",")} if self.record_key else {})
+        return out.withColumn(column, self._kept(t, lambda: langs)).drop("_found")
+
 
 def transform_keys(df: DataFrame, spec: str) -> DataFrame:
     """``new=old`` copies, ``new={a}/{b}`` formats, a bare ``name`` drops; separated by |, from left to right."""

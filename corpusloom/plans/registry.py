@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import langid, rewrite, scores, text
@@ -12,6 +12,7 @@ from ..functions.tokenizers import char_ids, from_char_ids
 from ..operators import evaluation, packing, store, structure, templates, transforms, vocab
 from ..operators.transforms import Choice, Chunked, Compose, DuplicatedLines, LangSet, LineByLine, MaxMin, Replace
 from ..sources import io
+from ..streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -90,11 +91,10 @@ for _name, _spec, _sql in (
 @query(
     "WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY ALL), "
     "t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c) "
-    "SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM t GROUP BY doc_id"
+    "SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) + 0.0 AS entropy FROM t GROUP BY doc_id UNION ALL SELECT doc_id, 0.0::DOUBLE FROM documents WHERE text = ''"
 )
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("text <> ''")
-    return d.select("doc_id", F.round(scores.entropy(char_ids(F.col("text"))), 6).alias("entropy"))
+    return docs(spark, sf_dir).select("doc_id", (F.round(scores.entropy(char_ids(F.col("text"))), 6) + F.lit(0.0)).alias("entropy"))
 
 
 @query(
@@ -215,7 +215,6 @@ def _rewrites(name: str, rewriter: str, placeholder: str, source: str, key: str,
 
 _sub = lambda c, p, new, flags="g": f"regexp_replace({c}, '{p}', '{new}', '{flags}')"
 _URL = r"https?://[\p{L}\p{N}_/:%#$&?~.,=+\-\\]+"
-_HASH = "|".join(rf"\b{a}+{b}+{a}+{b}+[{x}0-9]{{3,}}\b" for x in ("a-f", "A-F") for a, b in ((f"[{x}]", "[0-9]"), ("[0-9]", f"[{x}]")))
 _ENCLOSE = [p.replace("'", "''") for p in rewrite._ENCLOSED]
 for _args in (
     ("replace_url", "url", "<url>", "pages", "page_id", "html", _sub("html", _URL, "<url>")),
@@ -231,8 +230,8 @@ for _args in (
     ("replace_date", "date", "<date>", "documents", "doc_id", "text", None),
     ("replace_time", "time", "<time>", "documents", "doc_id", "text", None),
     ("replace_datetime", "datetime", "<date>", "documents", "doc_id", "text", None),
-    ("replace_hash", "hash", "<hash>", "documents", "doc_id", "text", None),
-    ("replace_base64", "base64", "<base64>", "documents", "doc_id", "text", None),
+    ("replace_hash", "hash", "<hash>", "documents", "doc_id", "text", _sub("text", rewrite.STRICT["hash"], "<hash>")),
+    ("replace_base64", "base64", "<base64>", "documents", "doc_id", "text", _sub("text", rewrite.STRICT["base64"], "<base64>")),
     ("replace_product_id", "product_id", "<id>", "documents", "doc_id", "text", None),
     ("replace_id", "id", "", "documents", "doc_id", "text", None),
     ("replace_bar", "bar", "", "documents", "doc_id", "text", None),
@@ -312,8 +311,8 @@ _DOC_LANGS = f"SELECT d.doc_id, d.text, coalesce(w.langs, 'unknown') AS langs FR
 @query(f"SELECT langs, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM ({_DOC_LANGS}) WHERE length(text) >= 40 GROUP BY langs")
 def lang_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = LangSet(record_key="langs").apply(docs(spark, sf_dir)).groupBy("langs").agg(F.count("*").alias("n"))
-    total = kept.agg(F.sum("n").alias("total"))
-    return kept.crossJoin(F.broadcast(total)).select("langs", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy())  # a row per set of languages
+    return kept.select("langs", "n", F.round(F.col("n") * 100.0 / total, 6).alias("percent"))
 
 
 @query(f"SELECT doc_id, langs AS langs FROM ({_DOC_LANGS}) WHERE length(text) >= 40 AND list_has_any(string_split(langs, ','), ['fr', 'de'])")
@@ -321,9 +320,13 @@ def langset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LangSet(["fr", "de"], record_key="langs").apply(docs(spark, sf_dir)).select("doc_id", "langs")
 
 
-@query("SELECT doc_id, lang, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS lang, len(list_filter({_WORDS}, lambda w: list_contains([{', '.join(repr(w) for w in langid.vocabulary(g))}], lower(w)))) AS n FROM documents" for g in ("en", "fr", "es", "de")) + ") WHERE n >= 5")
+_SPACED = [g for g in langid.ORDER if g not in ("ja", "zh", "ko", "th", "ar", "hi", "el")]
+_quoted = lambda w: "'" + w.replace("'", "''") + "'"
+
+
+@query("SELECT doc_id, lang, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS lang, len(list_filter({_WORDS}, lambda w: list_contains([{', '.join(_quoted(w) for w in langid.vocabulary(g))}], lower(w)))) AS n FROM documents" for g in _SPACED) + ") WHERE n >= 5")
 def lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.count_lang(F.col("text"), ["en", "fr", "es", "de"])
+    found = langid.count_lang(F.col("text"), _SPACED)
     return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.lang", "c.n")
 
 
@@ -423,6 +426,78 @@ def token_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n.alias("tokens"), F.length(t).cast("bigint").alias("chars"), scores.ratio(n, F.length(t)).alias("fraction"))
 
 
+# streams and files
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    kept = spark.read.parquet(path).schema
+    return stream.read_stream(spark, path, kept).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_epoch = lambda c: F.unix_micros(c) / 1_000_000
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = stream.windowed_counts(_events(spark, sf_dir), "ts", ["event_type"], "6 hours")
+    return stream.finished(counted, "complete").select(_epoch(F.col("start")).cast("bigint").alias("start"), "event_type", "n")
+
+
+@query("SELECT CAST((floor(epoch(ts) / 3600) - k) * 3600 AS BIGINT) AS start, count(*) AS n FROM (SELECT ts, unnest(range(0, 3)) AS k FROM events) GROUP BY 1")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = stream.windowed_counts(_events(spark, sf_dir), "ts", [], "3 hours", "1 hour")
+    return stream.finished(counted, "complete").select(_epoch(F.col("start")).cast("bigint").alias("start"), "n")
+
+
+@query(
+    "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start, count(*) AS n FROM b GROUP BY user_id, s"
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stream.sessions(_events(spark, sf_dir), "ts", ["user_id"], "12 hours")
+    return stream.finished(found, "complete").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 200 AND 4000")
+def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/documents.parquet"
+    kept = stream.filtered(stream.read_stream(spark, path, spark.read.parquet(path).schema), MaxMin("text-length", 200, 4000))
+    return stream.finished(kept.select("doc_id", "text"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as compressed JSON lines and read again."""
+    path = stream.scratch(spark) + ".jsonl"
+    io.write_jsonl(table(spark, sf_dir, "benchmark").select("item_id", "text"), path)
+    return io.read_any(spark, path).select("item_id", "text")
+
+
+@query("SELECT page_id, url FROM pages")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stream.scratch(spark) + ".csv"
+    io.convert(table(spark, sf_dir, "pages").select(F.col("page_id").alias("Page ID"), F.col("url").alias("URL")), path)
+    return io.read_any(spark, path).select(F.col("page_id").cast("bigint").alias("page_id"), "url")
+
+
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS line, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS part FROM documents")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 100 rows each, through Parquet."""
+    path = stream.scratch(spark) + ".parquet"
+    io.convert(docs(spark, sf_dir).select("doc_id", "lang"), path, shuffle_key="doc_id")
+    rows = transforms.number_rows(io.read_any(spark, path), ["doc_id"], "line")
+    return io.split_rows(rows, 100, ["doc_id"]).select("doc_id", "lang", "line", "part")
+
+
+@query("SELECT conv_id, turn, 'turn ' || turn || ' by ' || role || ': ' || text AS text FROM conversations")
+def template_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stream.scratch(spark) + ".json"
+    io.convert(table(spark, sf_dir, "conversations"), path)
+    made = io.read_any(spark, path, transform="text=turn {turn} by {role}: {text}")
+    return made.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "text")
+
+
 # vocabulary
 
 
