@@ -8,12 +8,15 @@ similarity j is retrieved with probability 1 - (1 - j**ROWS)**BANDS: the widest
 the length) and a containment of CONTAINMENT leave j >= 0.6, hence more than 0.999999. Windows that
 hold fewer template shingles than any verification needs are not signed; no match is lost by that.
 
-The templates are a fixed list, so all of it is one map over the documents.
+An index of the templates' bands tells which templates a window meets, so that the work doesn't grow
+with their number. They are a fixed list, so all of it is one map over the documents.
 
-Defined results. A null text counts as empty; a text shorter than a template can't contain it. Rows
-are scanned one by one: a repeated row repeats its matches, and a null doc_id is carried through. Of
+Tokens of punctuation alone (comment marks at the beginning of lines, say) are passed over, on both
+sides; places and lengths in the result count them. Defined results. A null text counts as empty; a
+text shorter than a template is one window. Rows are scanned one by one: a repeated row repeats its matches, and a null doc_id is carried through. Of
 templates on overlapping tokens the one of greater containment is reported (then the longer one,
-then the first in the list), at the first of the places where it is contained best. An empty table
+then the first in the list), at the place where it is contained best, without the widening if several
+are equal, and the first of those. An empty table
 gives an empty result; columns other than doc_id and text are not read.
 """
 
@@ -24,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textkit as tk
@@ -59,13 +63,17 @@ TEMPLATES = (
 )
 
 
-def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of pairs of neighbouring folded tokens, token offsets). Pair k starts at token k."""
+def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of pairs of neighbouring folded words, word offsets, token number of each word). Pair k starts at word k."""
     tok = tk.tokenise(text)
-    values = tk.hash_strings(tk.fold(tok.words), 9)[tok.codes]
+    folded = tk.fold(tok.words)
+    is_word = (pc.utf8_length(folded).to_numpy(zero_copy_only=False) > 0)[tok.codes] if len(tok.codes) else np.zeros(0, bool)
+    offsets = np.concatenate([[0], np.cumsum(is_word)])[tok.offsets]
+    place = (np.arange(len(tok.codes)) - tok.offsets[:-1][tok.owner])[is_word]
+    values = tk.hash_strings(folded, 9)[tok.codes[is_word]] if len(tok.codes) else np.zeros(0, tk.U64)
     if len(values) < 2:
-        return np.zeros(len(values), tk.U64), tok.offsets
-    return np.append(tk.mix64(values[:-1] * tk.U64(3) + values[1:]), tk.U64(0)), tok.offsets
+        return np.zeros(len(values), tk.U64), offsets, place
+    return np.append(tk.mix64(values[:-1] * tk.U64(3) + values[1:]), tk.U64(0)), offsets, place
 
 
 def signatures(rows: np.ndarray) -> np.ndarray:
@@ -82,7 +90,7 @@ def signatures(rows: np.ndarray) -> np.ndarray:
 class Templates:
     def __init__(self, listed: tuple[tuple[str, str, str], ...]):
         self.listed = listed
-        h, off = shingles(pa.array([t for _, _, t in listed], pa.string()))
+        h, off, _ = shingles(pa.array([t for _, _, t in listed], pa.string()))
         self.length = np.diff(off)
         if self.length.min(initial=2) < 2:
             raise ValueError("a template needs two words")
@@ -91,7 +99,19 @@ class Templates:
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in np.unique(self.length):
             mine = np.flatnonzero(self.length == n)
-            self.by_length[int(n)] = (mine, np.concatenate([signatures(h[off[i] : off[i + 1] - 1][None]) for i in mine]))
+            bands = np.concatenate([signatures(h[off[i] : off[i + 1] - 1][None])[0] for i in mine])
+            order = np.argsort(bands, kind="stable")
+            self.by_length[int(n)] = (mine, bands[order], np.repeat(mine, BANDS)[order])
+
+    def met(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """Distinct (row, template of n words) where a row of band keys has a band of the template."""
+        _, bands, template = self.by_length[n]
+        flat = keys.ravel()
+        lo, hi = np.searchsorted(bands, flat), np.searchsorted(bands, flat, side="right")
+        some = np.flatnonzero(hi > lo)
+        size = (hi - lo)[some]
+        at = np.repeat(lo[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.unique(np.stack([np.repeat(some // BANDS, size), template[at]], 1), axis=0)
 
 
 @lru_cache(maxsize=4)
@@ -102,7 +122,7 @@ def compiled(listed: tuple[tuple[str, str, str], ...]) -> Templates:
 def scan_texts(text: pa.Array, listed: tuple[tuple[str, str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> list[tuple[int, int, float, int, int]]:
     """(text, template, containment, first token, tokens) of the verified and best matches."""
     t = compiled(listed)
-    h, off = shingles(text)
+    h, off, place = shingles(text)
     if len(h) < 2:
         return []
     at = np.minimum(np.searchsorted(t.all, h), len(t.all) - 1)
@@ -110,8 +130,8 @@ def scan_texts(text: pa.Array, listed: tuple[tuple[str, str, str], ...] = TEMPLA
     known[off[1:][np.diff(off) > 0] - 1] = False  # the pair that would reach into the next text
     total = np.concatenate([[0], np.cumsum(known)])
     near = np.flatnonzero(known)
-    found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for n, (mine, bands) in t.by_length.items():
+    found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+    for n, (mine, *_) in t.by_length.items():
         step = max(1, n // 8)
         need = int(np.ceil(containment * min(len(t.sets[i]) for i in mine) - 1e-9))
         # window starts on the grid of each text that can hold a known pair
@@ -128,20 +148,24 @@ def scan_texts(text: pa.Array, listed: tuple[tuple[str, str, str], ...] = TEMPLA
         starts = np.unique(np.minimum(starts, last))
         who = np.searchsorted(off, starts, side="right") - 1
         left, right = np.maximum(starts - step, off[who]), np.minimum(starts + n + step, off[who + 1])
-        enough = (total[right - 1] - total[left] >= need) & (starts + n <= off[who + 1])
+        enough = (total[right - 1] - total[left] >= need) & (right - left >= 2)
         starts, who, left, right = (x[enough] for x in (starts, who, left, right))
-        for c in range(0, len(starts), 2048):
-            s = starts[c : c + 2048]
-            keys = signatures(h[s[:, None] + np.arange(n - 1)])
-            w, m = np.nonzero((keys[:, None, :] == bands[None]).any(2))
-            for i, j in zip(w + c, mine[m], strict=True):
-                share = len(np.intersect1d(h[left[i] : right[i] - 1], t.sets[j])) / len(t.sets[j])
-                if share >= containment - 1e-9:
-                    key, new = (int(who[i]), int(j)), (-share, int(starts[i] - off[who[i]]), n)
-                    if key not in found or new < found[key]:
-                        found[key] = new
+        size = np.minimum(n, off[who + 1] - starts)  # a shorter text is one window
+        for m in np.unique(size):
+            same = np.flatnonzero(size == m)
+            for c in range(0, len(same), 2048):
+                some = same[c : c + 2048]
+                keys = signatures(h[starts[some][:, None] + np.arange(m - 1)])
+                for i, j in t.met(n, keys):
+                    i = some[i]
+                    share = len(np.intersect1d(h[left[i] : right[i] - 1], t.sets[j])) / len(t.sets[j])
+                    if share >= containment - 1e-9:
+                        tight = len(np.intersect1d(h[starts[i] : starts[i] + m - 1], t.sets[j]))
+                        key, new = (int(who[i]), int(j)), (-share, -tight, int(starts[i] - off[who[i]]), int(m))
+                        if key not in found or new < found[key]:
+                            found[key] = new
     per_text: dict[int, list] = {}
-    for (i, j), (share, start, n) in found.items():
+    for (i, j), (share, _, start, n) in found.items():
         per_text.setdefault(i, []).append((share, -n, j, start))
     out = []
     for i, got in sorted(per_text.items()):
@@ -149,7 +173,8 @@ def scan_texts(text: pa.Array, listed: tuple[tuple[str, str, str], ...] = TEMPLA
         for share, n, j, start in sorted(got):
             if all(start >= e or start - n <= s for s, e in taken):
                 taken.append((start, start - n))
-                out.append((i, j, -share, start, -n))
+                first, last = place[off[i] + start], place[off[i] + start - n - 1]
+                out.append((i, j, -share, int(first), int(last - first + 1)))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,8 +52,10 @@ def stage(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of holds on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

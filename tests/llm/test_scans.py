@@ -44,6 +44,64 @@ def test_licences_against_exact_containment():
         assert share == pytest.approx(len(window & template) / len(template)) and share >= license_scan.CONTAINMENT
 
 
+def brute_licences(words):
+    """Templates that some window of their length (or the whole of a shorter text), widened by an eighth, contains well enough."""
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    out = {}
+    for j, (_, _, t) in enumerate(license_scan.TEMPLATES):
+        template = [w for w in fold(t) if w]
+        n, want = len(template), pairs(template)
+        step = max(1, n // 8)
+        for start in range(0, max(len(words) - n, 0) + 1):
+            if len(pairs(words[start : start + n]) & want) >= license_scan.CONTAINMENT * len(want):
+                out[j] = (start, min(start + n, len(words)))
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_licences_in_every_window(seed):
+    """Nothing that some window of a text contains is missed, unless a better one overlaps it: altered, cut, wrapped in comments."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(120):
+        text = prose(rng, rng.choice((0, 3, 40)))
+        for _ in range(1):
+            w = rng.choice(license_scan.TEMPLATES)[2].split()
+            for _ in range(rng.randrange(1 + len(w) // 20)):
+                w[rng.randrange(len(w))] = "altered"
+            w = w[: len(w) - rng.randrange(1 + len(w) // 10)]
+            mark = rng.choice(["", "", "// ", " * ", "# "])
+            size = rng.choice((5, 9, 100))
+            text += "\n" + "\n".join(mark + " ".join(w[a : a + size]) for a in range(0, len(w), size)) + " " + prose(rng, rng.choice((0, 0, 30)))
+        texts.append(text)
+    got = license_scan.scan_texts(pa.array(texts))
+    found = 0
+    for k, text in enumerate(texts):
+        tokens = fold(text)
+        at = [i for i, w in enumerate(tokens) if w]
+        want = brute_licences([w for w in tokens if w])
+        mine = [(j, start, start + n) for i, j, _, start, n in got if i == k]
+        for j in set(want) - {j for j, *_ in mine}:  # a better one stands there
+            first, last = at[want[j][0]], at[want[j][1] - 1]
+            assert any(a <= last and first < b for _, a, b in mine), (text, j)
+        found += len(want)
+    assert found > 100
+
+
+def test_short_and_commented_notices():
+    grant = next(t for name, _, t in license_scan.TEMPLATES if name == "apache-2-notice")
+    words = grant.split()
+    for size in (4, 7, 11):
+        for mark in ("// ", " * ", "# "):
+            text = "\n".join(mark + " ".join(words[a : a + size]) for a in range(0, len(words), size))
+            (i, j, share, start, n), *more = license_scan.scan_texts(pa.array([text]))
+            assert license_scan.TEMPLATES[j][0] == "apache-2-notice" and share == 1 and not more
+            assert start == 1 and n == len(text.split()) - 1
+    short = next(t for name, _, t in license_scan.TEMPLATES if name == "mit-grant").rsplit(" ", 5)[0]  # less than the template
+    assert [license_scan.TEMPLATES[j][0] for _, j, *_ in license_scan.scan_texts(pa.array([short]))] == ["mit-grant"]
+
+
 KEY = "AKIA" + "ABCDEFGH12345678"
 
 
