@@ -119,13 +119,34 @@ def pack_stateful(df: DataFrame, options: Options, order: str = "doc_id", shard:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         packer, rows = Packer(options), []
         for ids in pdf.sort_values("k").ids:
-            rows += packer.add(list(map(int, ids)))
+            rows += packer.add(ids.tolist())
         return pd.DataFrame({"shard": pdf.shard.iloc[0], "block_no": range(len(rows)), "input_ids": rows})
 
     rows = df.select(shard.cast("int").alias("shard"), F.col(order).alias("k"), "ids")
     return rows.groupBy("shard").applyInPandas(run, "shard int, block_no long, input_ids array<int>")
 
 
+def stateful_report(df: DataFrame, options: Options, order: str = "doc_id", shard: Column | None = None) -> DataFrame:
+    """One row: the sums of the packers' counts, with the shares of padding, truncation and overlap among all tokens
+    and of blocks that begin with a line or text."""
+    shard = F.lit(0) if shard is None else shard
+    names = list(Packer(options).stats)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        packer = Packer(options)
+        for ids in pdf.sort_values("k").ids:
+            for _ in packer.add(ids.tolist()):
+                pass
+        return pd.DataFrame([packer.stats])
+
+    rows = df.select(shard.cast("int").alias("shard"), F.col(order).alias("k"), "ids")
+    each = rows.groupBy("shard").applyInPandas(run, ", ".join(f"{n} long" for n in names))
+    total = each.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    share = lambda n, of: F.when(F.col(of) != 0, F.col(n) / F.col(of)).otherwise(0.0)
+    shares = {f"{n}_share": share(f"{n}_tokens", "tokens") for n in ("padding", "truncated", "overlap")}
+    return total.withColumns({**shares, "line_block_share": share("line_blocks", "blocks")})
+
+
 def noise(df: DataFrame, ratio: float = 0.05, mask: int | None = None, seed: int = 42, key: str = "doc_id", special: dict[int, float] | None = None) -> DataFrame:
     """Drops tokens by chance, or with a mask id puts one mask for each run of them.
 

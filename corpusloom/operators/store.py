@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,11 @@ def collate(df: DataFrame, max_length: int, ids: str = "input_ids") -> DataFrame
     return df.withColumn("input_ids", cut.cast("array<int>")).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))).withColumn("labels", F.col("input_ids"))
 
 
+def freeze(blocks: DataFrame, path: str, max_length: int, mode: str = "errorifexists") -> None:
+    """Writes what collate() makes of the blocks, as Parquet."""
+    collate(blocks, max_length).select("input_ids", "attention_mask", "labels").write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 HEADER_BASE, HEADER_VERSION = 8, 1
 
 
@@ -161,8 +168,43 @@ def join_seq2seq(inputs: Column, labels: Column) -> Column:
 
 
 def token_stat(df: DataFrame, vocab: DataFrame | None = None, ids: str = "input_ids") -> DataFrame:
-    """token_id, count; with a vocabulary (token_id, token) every entry of it, also those never used."""
-    n = df.select(F.explode(ids).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("count"))
+    """token_id, count, of the inputs and of labels where there are any; with a vocabulary (token_id, token)
+    every entry of it, also those never used."""
+    every = F.concat(ids, F.coalesce("labels", F.array().cast("array<int>"))) if "labels" in df.columns else F.col(ids)
+    n = df.select(F.explode(every).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("count"))
     if vocab is None:
         return n
     return vocab.join(n, "token_id", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
+
+
+def span_masks(df: DataFrame, sentinel: int, keep: set[int] | frozenset[int] = frozenset(), mean: float = 3.0, seed: int = 42, key: str = "block_id", ids: str = "input_ids") -> DataFrame:
+    """input_ids and labels of blocks cut into spans of Poisson lengths, which go to the inputs and the labels by turns.
+
+    Where a span goes to the labels, a sentinel stands for it in the inputs, and before it in the
+    labels; sentinels count down from ``sentinel``. A span that holds one of the tokens to ``keep``
+    (an end of text, a line break) goes to both. The lengths follow from the key and the seed.
+    """
+
+    def cut(row_key: int, tokens: np.ndarray) -> dict:
+        rng = np.random.default_rng([seed, int(row_key) % 2**63])
+        inputs, labels, at, turn, mark = [], [], 0, 0, sentinel
+        while at < len(tokens):
+            n = max(1, int(rng.poisson(mean)))
+            span = [int(t) for t in tokens[at : at + n]]
+            if turn % 2 == 0:
+                inputs += span
+            else:
+                inputs.append(mark)
+                labels += [mark, *span]
+                mark -= 1
+                if keep.intersection(span):
+                    inputs += span
+            at, turn = at + n, turn + 1
+        return {"input_ids": inputs, "labels": labels}
+
+    @F.pandas_udf("input_ids array<int>, labels array<int>")
+    def run(k: pd.Series, tokens: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut(a, b) for a, b in zip(k, tokens, strict=True)], columns=["input_ids", "labels"])
+
+    made = df.withColumn("_cut", run(F.col(key), F.col(ids)))
+    return made.withColumn(ids, F.col("_cut.input_ids")).withColumn("labels", F.col("_cut.labels")).drop("_cut")

@@ -148,3 +148,14 @@ def backup(df: DataFrame, column: str) -> DataFrame:
     """A copy of a column under the first free name column_0 … column_9."""
     free = next((f"{column}_{k}" for k in range(10) if f"{column}_{k}" not in df.columns), None)
     return df.withColumn(free, F.col(column)) if free else df
+
+
+def append_texts(df: DataFrame, path: str, template: str, source: str | None = None) -> None:
+    """Appends a row text by the template (and its source) to a folder of JSON lines."""
+    made = df.select(format_columns(template).alias("text"))
+    (made.withColumn("source", F.lit(source)) if source else made).write.mode("append").json(path)
+
+
+def save_scores(scores: DataFrame, path: str) -> None:
+    """Appends rows of scores to a folder of JSON lines."""
+    scores.write.mode("append").json(path)
