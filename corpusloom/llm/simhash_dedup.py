@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -222,11 +222,13 @@ def copies(docs: DataFrame, distance: int = DISTANCE, design_distance: int | Non
 
     lanes = ", ".join(f"{c} long" for c in LANES)
     prints = texts(docs).where("doc_id IS NOT NULL").mapInArrow(emit, f"doc_id long, {lanes}")
-    prints = cut(prints.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*LANES))))
-    reps = prints.where("doc_id = rep").dropDuplicates(["doc_id", *LANES])
+    prints = cut(prints)
+    # a text copied any number of times: partial minima, then a join whose great groups Spark may split
+    firsts = cut(prints.groupBy(*LANES).agg(F.min("doc_id").alias("rep")))
+    reps = firsts.select(F.col("rep").alias("doc_id"), *LANES)
     p = plan(reps.count(), leaf, distance if design_distance is None else design_distance, recall)
-    same = prints.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = near_edges(reps.select("doc_id", *LANES), p, distance).unionAll(same)
+    same = prints.join(firsts, LANES).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    edges = near_edges(reps, p, distance).unionAll(same)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 

@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < 40_000:
+            if size < 40_000 or held[0].column("anchor")[0] == batch.column("anchor")[-1]:  # else one group goes on
                 continue
             rows = pa.Table.from_batches(held)
             keys = rows.column("anchor").to_numpy()
