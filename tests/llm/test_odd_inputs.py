@@ -66,3 +66,33 @@ def test_stages(spark, odd_docs, tmp_path, stage, empty):
     kept = sorted((r.doc_id or 0) for r in got.collect())
     want = {"quality_rules": [0, 4, 5, 5], "decontaminate": [0, 0, 1, 2, 3, 4]}.get(name, [0, 0, 1, 2, 3, 4, 5, 5])
     assert kept == ([] if empty else want)
+
+
+@pytest.fixture(scope="module")
+def long_docs(make_docs):
+    """A text of 6,000 lines, each twice with a small change, and one of 200,000 characters without a blank."""
+    lines = [f"line {i} of a very long text says {chr(97 + i % 26) * 5} {i * 7919 % 100_003} and ends here" for i in range(3000)]
+    return make_docs([(1, "\n".join(lines + [x.replace("ends", "endz") for x in lines])), (2, "東京都の古い川" * 30_000), (3, "short")])
+
+
+def test_line_dedup_of_long_texts(long_docs):
+    gone = line_dedup.removals(long_docs).collect()
+    assert len({r.line_no for r in gone if r.doc_id == 1 and r.line_no >= 3000}) >= 2700
+    kept = {r.doc_id: r.text for r in line_dedup.apply(long_docs).collect()}
+    assert kept[1].count("\n") + 1 == 6000 - len(gone) and kept[2].startswith("東京都") and kept[3] == "short"
+
+
+@pytest.mark.parametrize("name", ["bpe", "simhash", "license_scan", "secret_scan", "quality_rules", "substring_dedup"])
+def test_other_operators_on_long_texts(spark, long_docs, name):
+    got = OPERATORS[name](spark, long_docs).collect()
+    if name == "bpe":
+        assert all(r.round_trip for r in got) and len(got) == 3
+    elif name == "substring_dedup":
+        assert {r.doc_id for r in got} <= {1}
+
+
+def test_empty_benchmark_and_labels(spark, long_docs):
+    assert not decontaminate.matches(long_docs, benchmark(spark).limit(0)).collect()
+    assert decontaminate.drop_contaminated(long_docs, benchmark(spark).limit(0)).count() == 3
+    scored = quality_fm.score(long_docs, quality_fm.fit(long_docs, labels(spark).limit(0))).collect()
+    assert len(scored) == 3
