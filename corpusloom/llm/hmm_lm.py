@@ -8,7 +8,7 @@ portion of documents asks for the counts of the words it holds (once for each),
 
 Each iteration maps the forward-backward recursion over whole documents, every partition emitting its
 expected counts, which Spark sums; the driver only normalises tables of fixed size. So that the steps
-of a long document can be taken side by side, it is handled in stretches of STRETCH tokens: products
+of a document of over LONG tokens can be taken side by side, it is handled in stretches of STRETCH tokens: products
 of the transitions along each give the exact forward vector at its start and backward vector at its
 end, and the transitions between stretches are counted as all others. Scoring runs the scaled forward
 recursion over whole documents; the log-likelihood is exact up to rounding.
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .spark_util import cut, release, stage, texts
 
-STATES, VOCABULARY, BUCKETS, ITERATIONS, STRETCH = 8, 4096, 1024, 4, 256
+STATES, VOCABULARY, BUCKETS, ITERATIONS = 8, 4096, 1024, 4
+LONG, STRETCH = 4096, 512
 #: Tokens handled at once by a Python worker in training.
 CHUNK = 400_000
 
@@ -288,10 +289,12 @@ def expected_counts(symbols: np.ndarray, start: np.ndarray, size: np.ndarray, be
     return first, moves * model.move, emissions, ll
 
 
-def stretches(offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, begins a document) of the stretches of at most ``limit`` tokens."""
+def stretches(offsets: np.ndarray, limit: int, whole: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, begins a document) of the stretches: documents of up to ``whole`` tokens, and at most ``limit`` tokens of others."""
     size = np.diff(offsets)
+    limit = np.where(size <= whole, np.maximum(size, 1), limit)
     parts = -(-size // limit)
+    limit = np.repeat(limit, parts)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start = np.repeat(offsets[:-1], parts) + nth * limit
     return start, np.minimum(limit, np.repeat(offsets[1:], parts) - start), nth == 0
@@ -318,7 +321,7 @@ def baum_welch(sequences: DataFrame, counts: np.ndarray, states: int, iterations
             total = np.zeros(states + states * states + v * states + 1)
             for batch in batches:
                 symbols, offsets = _flat(batch.column("symbols"), "<u2")
-                start, size, begins = stretches(offsets, STRETCH)
+                start, size, begins = stretches(offsets, STRETCH, LONG)
                 before, behind, moves = boundaries(symbols, start, size, begins, m)
                 total[states : states + states**2] += moves.ravel()
                 a = 0
