@@ -324,7 +324,12 @@ def baum_welch(sequences: DataFrame, counts: np.ndarray, states: int, iterations
                 start, size, begins = stretches(offsets, STRETCH, LONG)
                 before, behind, moves = boundaries(symbols, start, size, begins, m)
                 total[states : states + states**2] += moves.ravel()
-                a = 0
+                # stretches of like size together, as a portion takes as many steps as its longest
+                order = np.argsort(size, kind="stable")
+                size, begins, before, behind = size[order], begins[order], before[order], behind[order]
+                first = np.cumsum(size) - size
+                symbols = symbols[np.repeat(start[order] - first, size) + np.arange(size.sum())]
+                start, a = first, 0
                 while a < len(start):
                     b = max(a + 1, int(np.searchsorted(start, start[a] + CHUNK)))
                     lo, hi = start[a], start[b - 1] + size[b - 1]
