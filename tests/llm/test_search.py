@@ -166,6 +166,77 @@ def test_large_blocks_hold_together():
     assert len(set(groups_fast(pairs))) == 1
 
 
+def brute_meetings(key, short, before, n, lanes, group):
+    """Pairs of lines of different groups that share a block, may align there and are near by SimHash."""
+    out = set()
+    for i in range(len(key)):
+        j = np.flatnonzero((key == key[i]) & (group != group[i]))
+        longer = np.maximum(n[j], n[i])
+        j = j[(np.abs(before[j] - before[i]) + np.abs(n[j] - before[j] - n[i] + before[i]) <= line_dedup.shifts(longer, 0.9)) & (tk.hamming(lanes[j], np.repeat(lanes[i : i + 1], len(j), 0)) <= line_dedup.bits_apart(longer))]
+        out |= {(min(short[i], short[k]), max(short[i], short[k])) for k in j}
+    return out
+
+
+@pytest.mark.parametrize("tile", [50, 4096])
+def test_large_blocks_are_compared_whole(monkeypatch, tile):
+    """Blocks far beyond the window lose no pair, in one tile or in many."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 3000)
+    rng = np.random.default_rng(8)
+    m = 1400
+    short = np.arange(m).astype(np.uint64)
+    key = np.repeat(np.arange(4), [700, 400, 290, 10]).astype(np.uint64)
+    before, n = rng.integers(0, 60, m), rng.integers(60, 160, m)
+    lanes = np.repeat(rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64), m, 0)
+    for _ in range(6):  # bits that differ: about 27 of 256 set
+        lanes ^= np.uint64(1) << rng.integers(0, 64, (m, 4)).astype(np.uint64)
+    group = rng.integers(0, 300, m)
+    large = []
+    list(line_dedup.pairs_in(key, short, before, n, 0.9, large))
+    assert len(large[0][0]) == 1390  # the block of 10 isn't large
+    got, tiles = set(), 0
+    for ids, s, b, size, second in line_dedup.tiles(*large[0], 0.9):
+        i = s.astype(np.int64)
+        tiles += len(np.unique(ids))
+        for x, y in line_dedup.near_in(ids, b, size, second, group[i], lanes[i], n[i], 0.9):
+            got |= {(min(s[p], s[q]), max(s[p], s[q])) for p, q in zip(x, y, strict=True)}
+    want = brute_meetings(*(v[key < 3] for v in (key, short, before, n, lanes, group)))
+    assert got == want and len(want) > 1000
+    assert (tiles > 28) if tile == 50 else (tiles == 3)
+
+
+def test_lines_that_share_a_common_stretch_alone(make_docs):
+    """Copies with an edit in every other stretch meet only on one that hundreds of lines share, which hides no pair."""
+    rng = random.Random(12)
+    stem, lines, pairs = "in the course of the year", [], []
+    for _ in range(150):
+        tail = "".join(rng.choice("abcdefghijklmnopr") for _ in range(80))
+        far = list(tail)
+        for i in range(3, 80, 8):  # ten edits of 106 characters, no eight between them
+            far[i] = "z"
+        pairs.append((len(lines), len(lines) + 1))
+        lines += [f"{stem} {tail}", f"{stem} {''.join(far)}"]
+    assert all(levenshtein(lines[a], lines[b]) <= 10 for a, b in pairs)
+    order = list(range(len(lines)))
+    rng.shuffle(order)
+    docs = make_docs([(d, "\n".join(lines[i] for i in order[d : d + 3])) for d in range(0, len(order), 3)])
+    gone = line_dedup.removals(docs).collect()
+    assert len(gone) >= 0.9 * len(pairs)
+    place = {(d, k): order[d + k] for d in range(0, len(order), 3) for k in range(3)}
+    assert all(place[r.doc_id, r.line_no] // 2 == place[r.kept_doc_id, r.kept_line_no] // 2 for r in gone)
+    # groups that only lines of large blocks link are merged with those found before
+    assert len({(r.doc_id, r.line_no) for r in gone}) == len(gone)
+
+
+def test_merged_groups(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 10), (12, 10), (21, 20)], "node long, root long")
+    links = spark.createDataFrame([(3, 12), (30, 31), (31, 21), (5, 40)], "a long, b long")
+    got = {r.node: r.root for r in line_dedup.merged(roots, links).collect()}
+    assert got == {2: 1, 3: 1, 10: 1, 11: 1, 12: 1, 21: 20, 30: 20, 31: 20, 40: 5}
+    none = spark.createDataFrame([], "a long, b long")
+    assert {r.node: r.root for r in line_dedup.merged(roots, none).collect()} == {2: 1, 3: 1, 11: 10, 12: 10, 21: 20}
+
+
 def groups_fast(pairs):
     root = {}
 
