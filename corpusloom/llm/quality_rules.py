@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger keeps the integer measurements and one bit per
 failed rule; a policy is a versioned bitmask over the same bits, so that applying another policy, or
-asking what a rule alone rejects, never reads a text again.
+asking what a rule alone rejects, never reads a text again: ``stored`` writes the ledger of a table once,
+and what asks for it later, as the ablation does, reads the written one.
 
 Definitions. Words are maximal runs of non-blank characters (ASCII blanks). A null text counts as an
 empty text: zero words, so it fails ``few_words``. Rows are judged one by one, hence repeated rows
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import DOCUMENT_COLUMNS, texts
+from .spark_util import DOCUMENT_COLUMNS, file_states, stage, texts
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,19 @@ def ledger(docs: DataFrame) -> DataFrame:
     return bits.select("*", *((F.col("fail_bits").bitwiseAND(F.lit(mask(v)).cast("long")) == 0).alias(f"keep_{v}") for v in POLICIES))
 
 
+#: Application and files (with sizes and times) of a table, and its ledger as written.
+_STORED: dict[tuple[str, ...], DataFrame] = {}
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of a table of files, written into the shared folder at the first call and read there at
+    later ones, as long as the application runs and the files are the same."""
+    key = (docs.sparkSession.sparkContext.applicationId, *file_states(docs))
+    if key not in _STORED:
+        _STORED[key] = stage(ledger(docs))
+    return _STORED[key]
+
+
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs (their document columns) that pass the policy."""
     # The row number, which is not a function of the columns, keeps Catalyst from moving the filter

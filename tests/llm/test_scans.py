@@ -7,7 +7,7 @@ import corpus_pipeline
 import duckdb
 import pyarrow as pa
 import pytest
-from corpusloom.llm import bpe_codec, decontaminate, license_scan, quality_rules, secret_scan
+from corpusloom.llm import bpe_codec, decontaminate, license_scan, quality_rules, queries, secret_scan
 from corpusloom.llm import textkit as tk
 
 
@@ -187,6 +187,21 @@ def test_rules_and_ablation(make_docs):
         assert r.n_only == sum(b.fail_bits == 1 << r.bit for b in book.values())
 
 
+def test_ledger_is_stored_once(spark, make_docs, tmp_path):
+    """The ablation reads the ledger that op5 wrote, never the texts; other files give another ledger."""
+    write = lambda rows: make_docs(rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    write([(1, "SHOUTING ALL OF THE TIME IN EVERY WORD HERE"), (2, "a plain text of a few words"), (3, None), (3, None)])
+    book = queries.op5_quality_rules(spark, str(tmp_path))
+    ablation = queries.quality_rule_ablation(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in book.inputFiles() + ablation.inputFiles())
+    assert ablation.inputFiles() == book.inputFiles()
+    failed = {r.rule: r.n_failed for r in ablation.collect()}
+    assert book.count() == 4 and (failed["few_words"], failed["shouting"]) == (2, 1)
+    write([(1, "a plain text of a few words")])
+    assert queries.op5_quality_rules(spark, str(tmp_path)).count() == 1
+    assert {r.n_failed for r in queries.quality_rule_ablation(spark, str(tmp_path)).collect()} == {0}
+
+
 def test_rules_match_their_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
