@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import corpus_pipeline
 import pytest
 from corpusloom.llm import edit_distance, line_dedup, simhash_dedup, substring_dedup
 from corpusloom.llm import textkit as tk
@@ -205,29 +206,54 @@ def test_large_blocks_are_compared_whole(monkeypatch, tile):
     assert (tiles > 28) if tile == 50 else (tiles == 3)
 
 
-def test_lines_that_share_a_common_stretch_alone(make_docs):
-    """Copies with an edit in every other stretch meet only on one that hundreds of lines share, which hides no pair."""
+def common_stretch(make_docs):
+    """Pairs of copies with an edit in every other stretch, which meet only on one that hundreds of lines share: lines, their order, documents of three."""
     rng = random.Random(12)
-    stem, lines, pairs = "in the course of the year", [], []
+    stem, lines = "in the course of the year", []
     for _ in range(150):
         tail = "".join(rng.choice("abcdefghijklmnopr") for _ in range(80))
         far = list(tail)
         for i in range(3, 80, 8):  # ten edits of 106 characters, no eight between them
             far[i] = "z"
-        pairs.append((len(lines), len(lines) + 1))
         lines += [f"{stem} {tail}", f"{stem} {''.join(far)}"]
-    assert all(levenshtein(lines[a], lines[b]) <= 10 for a, b in pairs)
+    assert all(levenshtein(a, b) <= 10 for a, b in zip(lines[::2], lines[1::2], strict=True))
     order = list(range(len(lines)))
     rng.shuffle(order)
-    docs = make_docs([(d, "\n".join(lines[i] for i in order[d : d + 3])) for d in range(0, len(order), 3)])
+    return lines, order, make_docs([(d, "\n".join(lines[i] for i in order[d : d + 3])) for d in range(0, len(order), 3)])
+
+
+def test_lines_that_share_a_common_stretch_alone(make_docs):
+    """A stretch that hundreds of lines share hides no pair."""
+    lines, order, docs = common_stretch(make_docs)
     gone = line_dedup.removals(docs).collect()
-    assert len(gone) >= 0.9 * len(pairs)
+    assert len(gone) >= 0.9 * len(lines) / 2
     place = {(d, k): order[d + k] for d in range(0, len(order), 3) for k in range(3)}
     assert all(place[r.doc_id, r.line_no] // 2 == place[r.kept_doc_id, r.kept_line_no] // 2 for r in gone)
-    # groups that only lines of large blocks link are merged with those found before
     assert len({(r.doc_id, r.line_no) for r in gone}) == len(gone)
 
 
+def test_pipeline_stage_on_a_common_stretch(spark, make_docs):
+    """The pipeline's stage leaves one line of nearly every pair, and both of none that differ more."""
+    lines, _, docs = common_stretch(make_docs)
+    left = [x for r in corpus_pipeline.lines(spark, docs, "").collect() for x in r.text.split("\n")]
+    assert len(set(left)) == len(left) <= 0.55 * len(lines)
+    assert {lines.index(x) // 2 for x in left} == set(range(len(lines) // 2))
+
+
+@pytest.mark.parametrize("kind", ["insert", "end", "replace", "delete"])
+def test_profiles_lose_no_similar_pair(kind):
+    """Whatever lies within the bound is left to the edit distance, and few of the others are."""
+    rng = random.Random(6)
+    a = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    lines = pa.array([*a, *(at_the_bound(rng, x, kind) for x in a), "x", "", "é" * 40000])
+    x, y = np.arange(200), np.arange(200, 400)
+    most = np.array([levenshtein(lines[i].as_py(), lines[j].as_py()) for i, j in zip(x, y, strict=True)])
+    profile = line_dedup.profiles(lines)
+    assert line_dedup.may_match(profile, x, y, most).all()
+    assert line_dedup.may_match(profile, x, np.roll(y, 1), most).mean() < 0.1
+    assert profile.shape == (403, 320) and not profile[401].any() and profile[402].max() == 32767
+
+
 def test_merged_groups(spark):
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 10), (12, 10), (21, 20)], "node long, root long")
     links = spark.createDataFrame([(3, 12), (30, 31), (31, 21), (5, 40)], "a long, b long")
