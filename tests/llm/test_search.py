@@ -254,6 +254,19 @@ def test_profiles_lose_no_similar_pair(kind):
     assert profile.shape == (403, 320) and not profile[401].any() and profile[402].max() == 32767
 
 
+def test_large_blocks_send_on_what_may_be_similar_alone(spark):
+    """Of the lines of a tile that are near by SimHash those whose tallies differ too much aren't moved further, and no others are left out."""
+    lines = pa.array(["abcdefghij" * 10, "abcdefghij" * 9 + "zzzzzzzzzz", "abcdefghij" * 8 + "z" * 20, "klmnopqrst" * 10])
+    h, n = [(i + 1) << 16 for i in range(4)], np.full(4, 100)
+    counts = line_dedup.tally(lines, n).view(np.int64)
+    rows = [(h[i], 100, x, *[0] * len(line_dedup.LANES), *counts[i].tolist()) for i, x in enumerate(lines.to_pylist())]
+    text = spark.createDataFrame(rows, f"h long, n long, norm string, {', '.join(f'{c} long' for c in (*line_dedup.LANES, *line_dedup.TALLIES))}")
+    members = spark.createDataFrame([(x >> 16, 7, 10, 100, False) for x in h], "a long, b long, before int, n int, second boolean")
+    roots = spark.createDataFrame([], "node long, root long")
+    got = {tuple(r) for r in line_dedup.rest_of_large(members, text, roots, 0.9).collect()}
+    assert got == {(h[0], h[1]), (h[1], h[2])}
+
+
 def test_merged_groups(spark):
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 10), (12, 10), (21, 20)], "node long, root long")
     links = spark.createDataFrame([(3, 12), (30, 31), (31, 21), (5, 40)], "a long, b long")
