@@ -254,6 +254,21 @@ def test_profiles_lose_no_similar_pair(kind):
     assert profile.shape == (403, 320) and not profile[401].any() and profile[402].max() == 32767
 
 
+@pytest.mark.parametrize("kind", ["insert", "end", "replace", "delete"])
+def test_tallies_and_triples_lose_no_similar_pair(kind):
+    """Counts of characters and of stretches of three leave whatever lies within the bound, up to their greatest number too."""
+    rng = random.Random(8)
+    a = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    lines = pa.array([*a, *(at_the_bound(rng, x, kind) for x in a), "x", "", "é" * 40000])
+    length = np.array([len(x) for x in lines.to_pylist()])
+    x, y = np.arange(200), np.arange(200, 400)
+    most = np.array([levenshtein(lines[i].as_py(), lines[j].as_py()) for i, j in zip(x, y, strict=True)])
+    for counts, by in ((line_dedup.tally(lines, length), 1), (line_dedup.triples(lines, length), 3)):
+        assert line_dedup.within_counts(counts, x, y, by * most).all()
+        assert line_dedup.within_counts(counts, x, np.roll(y, 1), by * most).mean() < 0.2
+        assert len(counts) == 403 and not counts[401].any() and counts[402].max() == np.iinfo(counts.dtype).max
+
+
 def test_large_blocks_send_on_what_may_be_similar_alone(spark):
     """Of the lines of a tile that are near by SimHash those whose tallies differ too much aren't moved further, and no others are left out."""
     lines = pa.array(["abcdefghij" * 10, "abcdefghij" * 9 + "zzzzzzzzzz", "abcdefghij" * 8 + "z" * 20, "klmnopqrst" * 10])
