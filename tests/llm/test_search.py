@@ -283,6 +283,26 @@ def test_large_blocks_send_on_what_may_be_similar_alone(spark):
     assert got == {(h[0], h[1]), (h[1], h[2])}
 
 
+@pytest.mark.parametrize("most", [1, 8, 1 << 23])
+def test_filter_holds_every_wanted_line(spark, most):
+    spots = [(d * (-1) ** d * 3**30, n) for d in range(40) for n in range(0, 30, 7)]
+    words = line_dedup.filter_of(spark.createDataFrame(spots, "doc_id long, line_no int"), most)
+    place, bits = line_dedup.filter_place(*np.array(spots).T, len(words))
+    assert len(words) <= most and (words[place] & bits == bits).all()
+    if most > 8:
+        place, bits = line_dedup.filter_place(np.arange(20_000) + 5, np.arange(20_000), len(words))
+        assert (words[place] & bits == bits).mean() < 0.05
+
+
+def test_texts_of_lines_are_read_in_place(make_docs, spark):
+    rows = [(-7, "one line of text here\n\nand another, longer line of text"), (8, "nothing wanted at all"), (9, "a third line, which is wanted"), (10, None)]
+    wanted = spark.createDataFrame([(-7, 2), (9, 0), (9, 5), (11, 0)], "doc_id long, line_no int")
+    found = line_dedup.line_texts(make_docs([*rows, rows[0]]), wanted)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [r.norm for r in found.collect()]
+    assert got.count("and another longer line of text") == 2 and got.count("a third line which is wanted") == 1
+
+
 def test_merged_groups(spark):
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 10), (12, 10), (21, 20)], "node long, root long")
     links = spark.createDataFrame([(3, 12), (30, 31), (31, 21), (5, 40)], "a long, b long")
