@@ -350,6 +350,34 @@ def test_linked_pairs_hold_their_groups_together():
     assert groups(len(h), got) == groups(len(h), similar)
 
 
+def test_linked_pairs_close_no_ring():
+    """Of copies that are all alike no more pairs come than hold them together."""
+    lines = [f"a line of many words that all of the copies share but for its end {c}" for c in "abcdefghijklmnop"]
+    h = [(7 * i % 16) << 20 for i in range(16)]
+    pairs = [(h[i], h[j]) for i in range(16) for j in range(16) if h[i] < h[j]]
+    got = line_dedup.linked(pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}), pa.table({"h": h, "norm": lines}), 0.9)
+    at = {x: i for i, x in enumerate(h)}
+    assert got.num_rows == 15 and set(groups(16, {(at[a], at[b]) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)})) == {0}
+
+
+def test_bit_vectors_give_up_no_similar_pair():
+    """Pairs given up on the way are beyond the limit, and pairs of unlike lengths may share a batch."""
+    rng = random.Random(10)
+    left = ["".join(rng.choice("abcdefg ") for _ in range(rng.randrange(30, 400))) for _ in range(300)]
+    right = [at_the_bound(rng, x, rng.choice(["insert", "replace", "delete"])) if i % 3 else x[len(x) // 2 :] + x[: len(x) // 2] for i, x in enumerate(left)]
+    limits = np.array([len(x) // 10 for x in left])
+    got = edit_distance._by_bits(left, right, limits, max(-(-len(x) // 64) for x in left))
+    assert got.tolist() == [levenshtein(x, y) <= k for x, y, k in zip(left, right, limits.tolist(), strict=True)]
+    assert 100 < got.sum() < 250
+
+
+def test_texts_of_needed_lines_alone_are_moved(spark):
+    text = spark.createDataFrame([(i * 2**40 - 7, f"line {i}") for i in range(500)], "h long, norm string")
+    need = text.where("h % 5 = 0").select("h")
+    got = {r.h for r in line_dedup.texts_of(need, text).collect()}
+    assert {r.h for r in need.collect()} <= got and len(got) < 150
+
+
 def test_packed_blocks():
     rng = np.random.default_rng(1)
     key, h = rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)
