@@ -10,14 +10,16 @@ import ast
 import os.path
 import random
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions import rewrite
+from ..functions.arrow import by_rows
 from ..functions.scores import ratio
 
 _STRINGS = re.compile(r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''")
@@ -78,15 +80,21 @@ def split_python(source: str) -> tuple[str, str]:
     return "\n".join(docs), re.sub("\0(\\d+)\0", lambda m: held[int(m[1])], "\n".join(kept))
 
 
-@F.pandas_udf(StructType().add("doc", StringType()).add("code", StringType()))
-def python_parts(t: pd.Series) -> pd.DataFrame:
-    """struct(doc, code) of Python sources; nulls for null."""
-    return pd.DataFrame([(None, None) if s is None else split_python(s) for s in t], columns=["doc", "code"])
+@F.arrow_udf(StructType().add("doc", StringType()).add("code", StringType()))
+def python_parts(t: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """struct(doc, code) of Python sources; null for null."""
+    return by_rows(lambda s: dict(zip(("doc", "code"), split_python(s), strict=True)), pa.struct([("doc", pa.string()), ("code", pa.string())]), t)
+
+
+@F.arrow_udf(StructType().add("doc", LongType()).add("code", LongType()))
+def python_lengths(t: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """struct(doc, code): the characters of each of python_parts()."""
+    return by_rows(lambda s: dict(zip(("doc", "code"), map(len, split_python(s)), strict=True)), pa.struct([("doc", pa.int64()), ("code", pa.int64())]), t)
 
 
 def doc_fraction(t: Column) -> Column:
-    parts = python_parts(t)
-    return ratio(F.length(parts["doc"]), F.length(parts["code"]))
+    parts = python_lengths(t)
+    return ratio(parts["doc"], parts["code"])
 
 
 def shorten(block: str, limit: int, dots: str = "...") -> str:
