@@ -161,22 +161,22 @@ def strip_emphasis(t: Column) -> Column:
 def filter_markdown(t: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """Markdown-free text of the sections (cut at line breaks before #) that ``keep`` accepts; code fences stay, cleaned."""
 
-    @F.pandas_udf(StructType().add("text", StringType()).add("held", ArrayType(StringType())))
-    def aside(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in s:
-            held: list[str] = []
+    def hidden(x: str) -> dict:
+        held: list[str] = []
 
-            def hide(m: re.Match, held: list[str] = held) -> str:
-                held.append(clean_snippet(m[0]))
-                return f"\ue000{len(held) - 1}\ue001"
+        def hide(m: re.Match) -> str:
+            held.append(clean_snippet(m[0]))
+            return f"\ue000{len(held) - 1}\ue001"
 
-            rows.append((None, None) if x is None else (_INLINE.sub(hide, _FENCES.sub(hide, x)), held))
-        return pd.DataFrame(rows, columns=["text", "held"])
+        return {"text": _INLINE.sub(hide, _FENCES.sub(hide, x)), "held": held}
 
-    @F.pandas_udf(StringType())
-    def back(s: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else re.sub("\ue000(\\d+)\ue001", lambda m, h=h: h[int(m[1])], x) for x, h in zip(s, held, strict=True)])
+    @F.arrow_udf(StructType().add("text", StringType()).add("held", ArrayType(StringType())))
+    def aside(s: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_rows(hidden, pa.struct([("text", pa.string()), ("held", pa.list_(pa.string()))]), s)
+
+    @F.arrow_udf(StringType())
+    def back(both: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return by_rows(lambda x, h: re.sub("\ue000(\\d+)\ue001", lambda m: h[int(m[1])], x), pa.string(), both)
 
     parts = aside(t)
     sections = F.split(strip_markdown(parts["text"]), "\n#", -1)
