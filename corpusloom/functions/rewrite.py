@@ -8,13 +8,15 @@ since Java's own shorthands are ASCII.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .arrow import by_rows
+
 Rewriter = Callable[[Column, str], Column]
 
 _D = r"\p{Nd}"
@@ -159,9 +161,9 @@ def normalize(t: Column, form: str = "NFKC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normalisation form {form!r}")
 
-    @F.pandas_udf(StringType())
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda s: unicodedata.normalize(form, s), na_action="ignore")
+    @F.arrow_udf(StringType())
+    def run(t: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_rows(lambda s: unicodedata.normalize(form, s), pa.string(), t)
 
     return run(t)
 
