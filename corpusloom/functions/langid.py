@@ -12,13 +12,14 @@ functions, where no Python function can stand.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import by_rows
 from .langwords import WORDS
 from .text import big, chunks, words
 
@@ -95,16 +96,17 @@ _BEYOND = re.compile("[\u0370-\U0010ffff]")
 
 @lru_cache(maxsize=64)
 def _counting(langs: tuple[str, ...], unique: bool, min_words: int, table: str) -> Callable[[Column], Column]:
-    def run(text: pd.Series) -> pd.Series:
+    def run(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = _Counter(langs, unique, table)
-        return pd.Series([None if t is None else [{"lang": g, "n": n} for g, n in zip(langs, count(t), strict=True) if n >= min_words] for t in text])
+        found = lambda t: [{"lang": g, "n": n} for g, n in zip(langs, count(t), strict=True) if n >= min_words]
+        return by_rows(found, pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])), text)
 
-    return F.pandas_udf(run, "array<struct<lang:string,n:bigint>>", F.PandasUDFType.SCALAR).asNondeterministic()  # not to be repeated by a filter
+    return F.arrow_udf(run, "array<struct<lang:string,n:bigint>>").asNondeterministic()  # not to be repeated by a filter
 
 
 @lru_cache(maxsize=64)
 def _winning(langs: tuple[str, ...], unique: bool, min_words: int, table: str) -> Callable[[Column], Column]:
-    def run(pieces: pd.Series) -> pd.Series:
+    def run(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = _Counter(langs, unique, table)
 
         def win(chunk: str) -> dict:
@@ -114,9 +116,9 @@ def _winning(langs: tuple[str, ...], unique: bool, min_words: int, table: str) -
                     lang, bar = g, bar + 1
             return {"lang": lang, "length": len(chunk)}
 
-        return pd.Series([None if p is None else [win(c) for c in p] for p in pieces])
+        return by_rows(lambda p: [win(c) for c in p], pa.list_(pa.struct([("lang", pa.string()), ("length", pa.int64())])), pieces)
 
-    return F.pandas_udf(run, "array<struct<lang:string,length:bigint>>", F.PandasUDFType.SCALAR).asNondeterministic()
+    return F.arrow_udf(run, "array<struct<lang:string,length:bigint>>").asNondeterministic()
 
 
 def count_lang(text: Column, langs: list[str] = ORDER, unique: bool = False, min_words: int = 5, table: str = "strict") -> Column:
