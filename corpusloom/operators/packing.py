@@ -11,16 +11,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import code_points, lists, slices
 from ..functions.tokenizers import tokenizer
 from .transforms import range_part
 
 
 def encode(df: DataFrame, name: str = "char", eos: int = 0, column: str = "text") -> DataFrame:
     """ids: the tokens of each text and an end-of-sequence token; null texts give the latter alone."""
+    if name == "char":
+
+        @F.arrow_udf("array<int>")
+        def run(t: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return code_points(t, eos)
+
+        return df.withColumn("ids", run(F.col(column)))
     ids = F.coalesce(tokenizer(name)(F.col(column)), F.array().cast("array<int>"))
     return df.withColumn("ids", F.array_append(ids, F.lit(eos)))
 
@@ -38,15 +49,46 @@ def offsets(df: DataFrame, order: str, size: Column, name: str = "offset") -> Da
 
 
 def pack(df: DataFrame, block_size: int = 2048, order: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """block_id, input_ids: full blocks of the concatenation in order; the rest that fills none is left out."""
-    placed = offsets(df.select(order, ids), order, F.size(ids))
-    first, last = F.floor(F.col("offset") / block_size), F.floor((F.col("offset") + F.size(ids) - 1) / block_size)
-    pieces = placed.where(F.size(ids) > 0).select("offset", ids, F.explode(F.sequence(first, last)).alias("block_id"))
-    start = F.greatest(F.lit(0), F.col("block_id") * block_size - F.col("offset"))
-    end = F.least(F.size(ids).cast("bigint"), (F.col("block_id") + 1) * block_size - F.col("offset"))
-    cut = pieces.select("block_id", (F.col("offset") + start).alias("at"), F.slice(ids, (start + 1).cast("int"), (end - start).cast("int")).alias("part"))
-    blocks = cut.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    return blocks.select("block_id", F.flatten(F.transform("parts", lambda p: p["part"])).alias("input_ids")).where(F.size("input_ids") == block_size)
+    """block_id, input_ids: full blocks of the concatenation in order; the rest that fills none is left out.
+
+    Rows come sorted by ranges, so most blocks are cut from neighbouring rows where they lie. Only the
+    pieces of blocks at either end of a stretch of rows are moved and put together.
+    """
+    placed = offsets(df.select(order, ids), order, F.size(ids)).select("offset", ids)
+    cut = placed.mapInArrow(lambda batches: cut_blocks(batches, block_size), "block_id long, at long, input_ids array<int>")
+    whole = F.size("input_ids") == block_size
+    ends = cut.where(~whole).groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("at", "input_ids"))).alias("parts"))
+    ends = ends.select("block_id", F.flatten(F.transform("parts", lambda p: p["input_ids"])).alias("input_ids")).where(whole)
+    return cut.where(whole).select("block_id", "input_ids").unionAll(ends)
+
+
+def cut_blocks(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa.RecordBatch]:
+    """(block_id, at, input_ids) of rows (offset, ids): blocks, and pieces of blocks where rows don't follow one another."""
+    held, start = np.zeros(0, np.int32), 0  # what is cut so far ends in these tokens, from this place on
+
+    def rows(first: int, tokens: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray, int]:
+        """The blocks of the tokens from the place ``first`` on, and what is left; a last piece of a block goes too."""
+        bounds = np.arange(first // block_size + 1, (first + len(tokens)) // block_size + 1) * block_size
+        end = first + len(tokens) if last else bounds[-1] if len(bounds) else first
+        at = np.unique(np.concatenate([[first], bounds[bounds < end]])) if end > first else np.zeros(0, np.int64)
+        made = lists(tokens[: end - first], np.diff(np.append(at, end))) if len(at) else lists(tokens[:0], np.zeros(0, np.int64))
+        batch = pa.RecordBatch.from_arrays([pa.array(at // block_size, pa.int64()), pa.array(at, pa.int64()), made], names=["block_id", "at", "input_ids"])
+        return batch, tokens[end - first :].copy(), int(end)
+
+    for batch in batches:
+        for at, n in slices(tuple(batch.columns), 0, batch.num_rows):
+            part = batch.slice(at, n)
+            offset = part.column(0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens, upto = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+            breaks = np.flatnonzero(offset[1:] != offset[:-1] + sizes[:-1]) + 1
+            for s, e in zip([0, *breaks.tolist()], [*breaks.tolist(), n], strict=True):
+                if start + len(held) != offset[s]:
+                    yield rows(start, held, last=True)[0]
+                    held, start = np.zeros(0, np.int32), int(offset[s])
+                made, held, start = rows(start, np.concatenate([held, tokens[upto[s] : upto[e]]]), last=False)
+                yield made
+    yield rows(start, held, last=True)[0]
 
 
 @dataclass(frozen=True)
