@@ -195,19 +195,53 @@ def noise(df: DataFrame, ratio: float = 0.05, mask: int | None = None, seed: int
     The chance is a hash of (key, position, seed), so a rerun drops the same tokens. The first token of
     a text always stays; ``special`` gives single tokens a ratio of their own (an EOS token 0).
     """
-    p = F.lit(float(ratio))
-    table = F.create_map(*(F.lit(x) for kv in (special or {}).items() for x in kv)) if special else None
-
-    def gone(x: Column, i: Column) -> Column:
-        chance = F.coalesce(F.try_element_at(table, x), p) if table is not None else p
-        return (i > 0) & (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < chance)
-
-    if mask is None:
-        return df.withColumn("ids", F.filter("ids", lambda x, i: ~gone(x, i)))
-    # of a run of dropped tokens the first becomes the mask
-    again = lambda x, i: gone(x, i) & F.coalesce(gone(F.get(F.col("ids"), i - 1), i - 1), F.lit(False))
-    marked = F.transform("ids", lambda x, i: F.when(again(x, i), F.lit(None)).when(gone(x, i), F.lit(mask)).otherwise(x))
-    return df.withColumn("ids", F.filter(marked, lambda x: x.isNotNull()))
+
+    @F.arrow_udf("array<int>")
+    def run(rows: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for tokens, keys in rows:
+            for at, n in slices((tokens,), 0, len(tokens)):
+                yield thinned(tokens.slice(at, n), keys.slice(at, n).to_numpy(zero_copy_only=False), ratio, mask, seed, special or {})
+
+    return df.withColumn("ids", run(F.col("ids"), F.xxhash64(F.col(key))))
+
+
+def thinned(tokens: pa.Array, keys: np.ndarray, ratio: float, mask: int | None, seed: int, special: dict[int, float]) -> pa.Array:
+    """noise() of some rows; keys: xxhash64 of their keys, which goes on over (position, seed) as Spark's own does."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = pc.list_flatten(tokens).to_numpy(zero_copy_only=False).astype(np.int32)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i = np.arange(len(x)) - first
+    h = xxhash_next(np.full(len(x), seed), xxhash_next(i, np.repeat(keys.view(np.uint64), sizes)), not -(1 << 31) <= seed < 1 << 31)
+    chance = np.full(len(x), float(ratio))
+    for token, own in special.items():
+        chance[x == token] = own
+    gone = (i > 0) & ((h & np.uint64((1 << 30) - 1)).astype(np.float64) / float(1 << 30) < chance)
+    keep = ~gone
+    if mask is not None:  # of a run of dropped tokens the first becomes the mask; none begins a text
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        x, keep = np.where(begins, mask, x), keep | begins
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    end = np.cumsum(sizes)
+    return lists(x[keep], kept[end] - kept[end - sizes], tokens.is_null())
+
+
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def xxhash_next(values: np.ndarray, h: np.ndarray, long: bool = False) -> np.ndarray:
+    """Spark's xxhash64 of 32-bit numbers (or of 64-bit ones), going on from the hashes h."""
+    turned = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    v = values.astype(np.int64).view(np.uint64)
+    if long:
+        h = h + _P5 + np.uint64(8) ^ turned(v * _P2, 31) * _P1
+        h = turned(h, 27) * _P1 + _P4
+    else:
+        h = h + _P5 + np.uint64(4) ^ (v & np.uint64(0xFFFFFFFF)) * _P1
+        h = turned(h, 23) * _P2 + _P3
+    for shift, times in ((33, _P2), (29, _P3)):
+        h = (h ^ h >> np.uint64(shift)) * times
+    return h ^ h >> np.uint64(32)
 
 
 def report(df: DataFrame, block_size: int = 2048, column: str = "text", ids: str = "ids") -> DataFrame:
